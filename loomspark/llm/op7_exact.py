@@ -1,7 +1,7 @@
 """Exact dedup by content sort.
 
-Normalised texts are range-partitioned at sampled splitters and sorted outside memory, which places equal texts next to
-each other; Spark's window operator then compares neighbours in full and the smallest identifier of a run stays.
+Normalised texts are range-partitioned at sampled splitters (first bytes, then digest) and sorted outside memory, which
+places equal texts next to each other; Spark's window operator then compares neighbours in full and the smallest identifier of a run stays.
 
 A content with many copies would fill one range. Such contents are found first from their digests alone (an aggregate that
 combines before its shuffle) and their copies get a salt, so that a run stays small; the runs of one hot content are
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: A run of [\x20\x09-\x0D] that isn't already a single space; replacing only these equals replacing every run.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
+#: Characters of a text that stand in the range key.
+HEAD = 32
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: bool = False, min_hot: int = 256, max_hot: int = 4096) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; with payload also `row`, a struct of the input columns.
@@ -34,8 +37,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = base.join(F.broadcast(hot), F.col("_sha") == F.col("_hot_sha"), "left").withColumn(
         "_salt", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / F.lit(least))).cast("int"))
     )
-    ranged = salted.repartitionByRange("_norm", "_salt")
-    run = Window.partitionBy("_norm", "_salt").orderBy(F.col("_id").asc_nulls_last())
+    # Splitters are sampled from the texts' first bytes and, where those are shared, their digests: the driver gets short keys.
+    ranged = salted.withColumn("_head_bytes", F.substring("_norm", 1, HEAD)).repartitionByRange("_head_bytes", "_sha", "_salt")
+    run = Window.partitionBy("_head_bytes", "_sha", "_salt", "_norm").orderBy(F.col("_id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = ranged.select("*", F.row_number().over(run).alias("_k"), F.first("_id").over(run).alias("_head"), F.count("*").over(whole).alias("_size"))
     keep = F.when(F.col("_n").isNotNull(), F.col("_least")).otherwise(F.col("_head"))

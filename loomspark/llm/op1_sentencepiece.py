@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,7 +27,8 @@ from .textops import chunks, load
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered by each Python worker, and the longest that is.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 600_000, 48
+_FAR, _BYTES = float("inf"), 1e6
 
 
 def model_path(name: str = MODEL) -> str:
@@ -37,27 +39,28 @@ def model_path(name: str = MODEL) -> str:
 
 @dataclass
 class Fst:
-    """Compiled machines. arcs: piece to (id, cost); byte_ids: of the 256 byte pieces; prefixes: all prefixes of pieces."""
+    """Compiled machines. trie: characters to nodes, a piece's id under the empty string; costs: of the arcs; byte_ids: of the 256 byte pieces."""
 
-    arcs: dict[str, tuple[int, float]]
+    trie: dict
+    costs: list[float]
+    names: list[str]
     pieces: list[bytes]
     byte_ids: list[int]
-    prefixes: set[str]
     bpe: bool
     dummy: bool
     unknown: int
     units: re.Pattern
     rank: dict[str, float] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    own: dict[str, bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
 
     def merges(self, text: str) -> list[str]:
         """The symbols that merging the best-ranked neighbours, leftmost first, leaves of a short text."""
         symbols = list(text)
+        rank = self.rank
         while len(symbols) > 1:
             best, at = None, -1
             for i in range(len(symbols) - 1):
-                r = self.rank.get(symbols[i] + symbols[i + 1])
+                r = rank.get(symbols[i] + symbols[i + 1])
                 if r is not None and (best is None or r > best):
                     best, at = r, i
             if at < 0:
@@ -65,56 +68,54 @@ class Fst:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def reached(self, piece: str) -> bool:
-        """Whether merges can make the piece at all."""
-        if (ok := self.own.get(piece)) is None:
-            ok = self.own[piece] = len(piece) == 1 or self.merges(piece) == [piece]
-        return ok
-
-    def passes(self, a: str, b: str) -> bool:
-        """The pair acceptor's arc."""
-        if not a or not self.bpe:
-            return True
-        if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= 4 * MEMO:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merges(a + b) == [a, b]
+    def passes(self, a: int, b: int) -> bool:
+        """The pair acceptor's arc from piece a to piece b."""
+        if len(self.pairs) >= 4 * MEMO:
+            self.pairs.clear()
+        x, y = self.names[a], self.names[b]
+        ok = self.pairs[a << 32 | b] = self.merges(x + y) == [x, y]
         return ok
 
     def path(self, unit: str) -> bytes:
         """Little-endian 32-bit ids of the shortest path over a normalised unit."""
-        n, arcs, prefixes, bpe = len(unit), self.arcs, self.prefixes, self.bpe
-        # best[j]: (cost, start of the last piece, the last piece or '' where a byte arc ends)
-        best: list[tuple[float, int, str] | None] = [None] * (n + 1)
-        best[0] = (0.0, -1, "")
+        n, trie, costs, bpe, pairs = len(unit), self.trie, self.costs, self.bpe, self.pairs
+        # For each place: the best cost, the start of the last piece, and that piece's id (-1 where a byte arc ends).
+        best = [_FAR] * (n + 1)
+        came, last = [-1] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
         for i in range(n):
-            before = best[i]
-            if before is None:
+            cost = best[i]
+            if cost == _FAR:
                 continue
-            cost, _, last = before
-            for j in range(i + 1, n + 1):
-                piece = unit[i:j]
-                if piece not in prefixes:
+            before, node = last[i], trie
+            key = before << 32
+            for j in range(i, n):
+                node = node.get(unit[j])
+                if node is None:
                     break
-                arc = arcs.get(piece)
-                if arc is None or best[j] is not None and cost + arc[1] >= best[j][0]:
+                piece = node.get("")
+                if piece is None or cost + costs[piece] >= best[j + 1]:
                     continue
-                if not bpe or self.reached(piece) and self.passes(last, piece):
-                    best[j] = (cost + arc[1], i, piece)
-            if unit[i] not in arcs and (best[i + 1] is None or cost + 1e3 < best[i + 1][0]):
-                best[i + 1] = (cost + 1e3, i, "")
+                if bpe and before >= 0:
+                    ok = pairs.get(key | piece)
+                    if not (self.passes(before, piece) if ok is None else ok):
+                        continue
+                best[j + 1], came[j + 1], last[j + 1] = cost + costs[piece], i, piece
+            if cost + _BYTES < best[i + 1] and "" not in trie.get(unit[i], ()):
+                best[i + 1], came[i + 1], last[i + 1] = cost + _BYTES, i, -1
         out: list[int] = []
         j = n
         while j > 0:
-            _, i, piece = best[j]
-            if piece:
-                out.append(arcs[piece][0])
+            i = came[j]
+            if last[j] >= 0:
+                out.append(last[j])
             elif self.byte_ids:
                 out.extend(self.byte_ids[x] for x in reversed(unit[i:j].encode("utf-8", "surrogatepass")))
             else:
                 out.append(self.unknown)
             j = i
-        return b"".join(x.to_bytes(4, "little") for x in reversed(out))
+        out.reverse()
+        return array("I", out).tobytes()
 
     def normalise(self, text: str) -> str:
         return ((" " if self.dummy else "") + text).replace(" ", SPACE) if text else ""
@@ -172,13 +173,21 @@ def compile_model(path: str) -> tuple[Fst, Memo]:
     # A newline that is part of no piece ends a unit too: fewer distinct units.
     line = not any("\n" in p for _, p, _ in normal)
     units = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if line else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-    fst = Fst({p: (i, 0.0 if bpe else -s) for i, p, s in normal}, pieces, byte_ids, {p[:k] for _, p, _ in normal for k in range(1, len(p) + 1)}, bpe, norm.add_dummy_prefix, model.trainer_spec.unk_id, units, {p: s for _, p, s in normal})
+    names = [p.piece for p in model.pieces]
+    fst = Fst({}, [0.0] * len(names), names, pieces, byte_ids, bpe, norm.add_dummy_prefix, model.trainer_spec.unk_id, units, {p: s for _, p, s in normal})
+    for i, p, score in normal:
+        if not bpe or len(p) == 1 or fst.merges(p) == [p]:  # a piece that merges never make has no arc
+            fst.costs[i] = 0.0 if bpe else -score
+            node = fst.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
     _COMPILED[path] = (fst, Memo(fst))
     return _COMPILED[path]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_bytes_pieces, ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256, round_trip; with_ids adds ids and decoded.
+    """doc_id, n_tokens, n_byte_pieces (by byte fallback), ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256, round_trip; with_ids adds ids and decoded.
 
     Null text counts as empty and has no tokens. round_trip: the decoded text equals the input, U+2581 read as a space.
     Rows that repeat an identifier each get their result; an empty table gives no rows.

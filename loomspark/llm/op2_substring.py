@@ -11,18 +11,19 @@ A passage can also stand inside longer paragraphs that differ. For these the sam
 RUN + WINNOW - 1 = 47 words shares a kept run. Runs that stand in several documents are kept in the first and removed from
 the others.
 
-Copies of a paragraph leave a task once, whatever their number; no group is gathered, and pairs are only made for paragraphs
-that aren't already connected.
+Copies of a paragraph leave a task once, whatever their number. Paragraphs are first compared with one pivot of each key;
+only where a key still has several components are its members compared with each other, in blocks of bounded size whose
+rows are members, never pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .links import colliding, linked
+from .links import components
 from .textops import chunks, cut, grams, load, mix, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -32,7 +33,7 @@ RUN, WINNOW = 24, 24
 #: Digests remembered by a task so that it sends a paragraph's keys once.
 SEEN = 500_000
 _U = np.uint64
-_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_SALTS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
 class _Lines:
@@ -80,17 +81,19 @@ def _units(min_words: int):
 
 
 def signature_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Band keys (int64), one row of BANDS for each span [a, b) of shingles; spans aren't empty."""
+    """Band keys (int64), one row of BANDS for each span [a, b) of shingles; spans aren't empty.
+
+    A permutation is a multiplication of the shingles' mixed upper halves by an odd number; 32 bits keep it in vector units.
+    """
     out = np.empty((len(a), BANDS), _U)
     edges = np.stack([a, np.maximum(b, a + 1)], 1).ravel()
-    padded = np.append(shingles, _U(0))
+    padded = np.append((shingles >> _U(32)).astype(np.uint32), np.uint32(0))
+    v = np.empty_like(padded)
     for band in range(BANDS):
         key = np.full(len(a), band + 1, _U)
         for r in range(ROWS):
-            v = (padded ^ _SALTS[band * ROWS + r]) * _U(0xD6E8FEB86659FD93)
-            v ^= v >> _U(32)
-            v *= _U(0xA0761D6478BD642F)
-            key = mix(key * _U(0x100000001B3) + np.minimum.reduceat(v, edges)[::2])
+            np.multiply(padded, _SALTS[band * ROWS + r], out=v)
+            key = mix(key * _U(0x100000001B3) + np.minimum.reduceat(v, edges)[::2].astype(_U))
         out[:, band] = key
     return out.view(np.int64)
 
@@ -100,20 +103,23 @@ def _bands(min_words: int):
         seen: set[int] = set()
         for b in chunks(batches):
             x = _Lines(b.column("text"), min_words)
-            _, first = np.unique(x.digest, return_index=True)
-            new = np.array([i for i in first.tolist() if int(x.digest[i]) not in seen], np.int64)
+            _, first, copies = np.unique(x.digest, return_index=True, return_counts=True)
+            unseen = np.array([int(d) not in seen for d in x.digest[first].tolist()], bool)
+            new, copies = first[unseen], copies[unseen]
             if not len(new):
                 continue
             if len(seen) > SEEN:
                 seen.clear()
             seen.update(x.digest[new].tolist())
             keys = signature_keys(x.shingles, x.spans[0][new], x.spans[1][new])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(x.digest[new], BANDS))], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(x.digest[new], BANDS)), pa.array(np.repeat(copies, BANDS))], ["key", "id", "n"])
 
     return run
 
 
 def _shingle_sets(min_words: int):
+    """Shingle sets of paragraphs, once for each task and digest."""
+
     def run(batches):
         seen: set[int] = set()
         for b in chunks(batches):
@@ -154,25 +160,87 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), b.column("doc_id").take(own), b.column("th").take(own), pa.array(at[i] - w.first[own.to_numpy()])], ["h", "doc_id", "th", "start"])
 
 
-def _jaccard(sets: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(a, "a").join(b, "b").filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-    return verify
-
-
-def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids of a key and its pivot."""
+    pairs = shared.filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "a").join(b, "b").filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _joined(pdf):
+    """Links that join different components among the members of one block pair: at most one fewer than there are components."""
+    import pandas as pd
+
+    pdf = pdf.drop_duplicates("id")
+    sizes = pdf["shingles"].map(len).to_numpy()
+    parts, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    if len(parts) < 2:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    _, column, often = np.unique(np.concatenate(pdf["shingles"].to_list()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    shared = np.flatnonzero(often >= 2)
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    row, column = row[place[column] >= 0], place[column[place[column] >= 0]]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    width = max(1, (1 << 22) // len(sizes))
+    for lo in range(0, len(shared), width):  # exact counts: products of zeros and ones
+        x = np.zeros((len(sizes), min(width, len(shared) - lo)), np.float32)
+        here = (column >= lo) & (column < lo + width)
+        x[row[here], column[here] - lo] = 1
+        both += x @ x.T
+    links = (both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both) - 1e-6) & (comp[:, None] != comp[None, :])
+    root = list(range(len(parts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    ids, out = pdf["id"].to_numpy(), []
+    for i in np.flatnonzero(links.any(axis=1)).tolist():
+        near = np.flatnonzero(links[i])
+        for c, k in zip(*np.unique(comp[near], return_index=True), strict=True):
+            x, y = find(int(comp[i])), find(int(c))
+            if x != y:
+                root[x] = y
+                out.append((ids[i], ids[near[k]]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _rest(mixed: DataFrame, sets: DataFrame, members: int = 1000, shingles: int = 200_000) -> DataFrame:
+    """Links between components that still share a key. Members of a key are dealt to blocks of bounded size, and every two blocks are compared."""
+    sized = mixed.join(sets.select("id", F.size("shingles").alias("n")), "id")
+    w = Window.partitionBy("key")
+    blocks = F.greatest(F.ceil(F.count("*").over(w) / members), F.ceil(F.sum("n").over(w) / shingles))
+    dealt = sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(_joined, "a bigint, b bigint").distinct()
+
+
+def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, most_wanted: int = 1_000_000) -> DataFrame:
     """Each paragraph: doc_id, th, par (its number), start and n (words), class (representative digest)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     units = docs.mapInArrow(_units(min_words), f"doc_id {kind}, th bigint, par bigint, start bigint, n bigint, digest bigint")
-    shared = colliding(docs.select("text").mapInArrow(_bands(min_words), "key bigint, id bigint"), "bands")
+    # Keys that stand at two paragraphs; the pivot is the one with most copies, which variants are likeliest to be near.
+    w = Window.partitionBy("key")
+    keys = docs.select("text").mapInArrow(_bands(min_words), "key bigint, id bigint, n bigint")
+    both = keys.withColumn("pivot", F.max(F.struct("n", "id")).over(w)["id"]).withColumn("_a", F.min("id").over(w)).withColumn("_b", F.max("id").over(w))
+    shared = cut(both.filter("_a <> _b").select("key", "id", "pivot").distinct(), "bands")
     wanted = cut(shared.select("id").distinct(), "wanted")
-    sets = docs.select("text").mapInArrow(_shingle_sets(min_words), "id bigint, shingles array<bigint>").join(wanted, "id", "left_semi")
+    small = wanted.count() <= most_wanted
+    sets = docs.select("text").mapInArrow(_shingle_sets(min_words), "id bigint, shingles array<bigint>").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
     sets = cut(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    classes = linked(shared, _jaccard(sets), "paragraphs").select(F.col("node").alias("digest"), F.col("component").alias("_c"))
+    first = cut(components(_stars(shared, sets), "paragraphs"), "paragraphs")
+    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = cut(labelled.withColumn("_a", F.min("component").over(w)).withColumn("_b", F.max("component").over(w)).filter("_a <> _b").select("key", "id", "component"), "mixed")
+    more = cut(_rest(mixed, sets), "links")
+    classes = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "paragraphs")
+    classes = classes.select(F.col("node").alias("digest"), F.col("component").alias("_c"))
     return units.join(classes, "digest", "left").select("doc_id", "th", "par", "start", "n", F.coalesce("_c", "digest").alias("class"))
 
 

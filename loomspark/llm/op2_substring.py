@@ -86,16 +86,26 @@ def signature_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
     A permutation is a multiplication of the shingles' mixed upper halves by an odd number; 32 bits keep it in vector units.
     """
     out = np.empty((len(a), BANDS), _U)
-    edges = np.stack([a, np.maximum(b, a + 1)], 1).ravel()
-    padded = np.append((shingles >> _U(32)).astype(np.uint32), np.uint32(0))
-    v = np.empty_like(padded)
-    for band in range(BANDS):
-        key = np.full(len(a), band + 1, _U)
-        for r in range(ROWS):
-            np.multiply(padded, _SALTS[band * ROWS + r], out=v)
-            key = mix(key * _U(0x100000001B3) + np.minimum.reduceat(v, edges)[::2].astype(_U))
-        out[:, band] = key
-    return out.view(np.int64)
+    half = np.append((shingles >> _U(32)).astype(np.uint32), np.uint32(0))
+    last = np.maximum(b - 1, a)
+    order = np.argsort(last - a, kind="stable")
+    at = 0
+    while at < len(order):  # paragraphs of like length side by side, the short ones padded with their last shingle
+        n = 512
+        while n > 1 and n * int((last - a)[order[min(at + n, len(order)) - 1]] + 1) > 1 << 16:
+            n //= 2
+        rows = order[at : at + n]
+        at += n
+        length = int((last - a)[rows[-1]]) + 1
+        block = half[np.minimum(a[rows][None, :] + np.arange(length)[:, None], last[rows][None, :])]
+        v = np.empty_like(block)
+        for band in range(BANDS):
+            key = np.full(len(rows), band + 1, _U)
+            for r in range(ROWS):
+                np.multiply(block, _SALTS[band * ROWS + r], out=v)
+                key = key * _U(0x100000001B3) + v.min(axis=0)
+            out[rows, band] = key
+    return mix(out).view(np.int64)
 
 
 def _bands(min_words: int):
@@ -169,26 +179,25 @@ def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _joined(pdf):
-    """Links that join different components among the members of one block pair: at most one fewer than there are components."""
-    import pandas as pd
-
-    pdf = pdf.drop_duplicates("id")
-    sizes = pdf["shingles"].map(len).to_numpy()
-    parts, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+def _member_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join different components among members: at most one fewer than there are components."""
+    parts, comp = np.unique(comp, return_inverse=True)
     if len(parts) < 2:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    _, column, often = np.unique(np.concatenate(pdf["shingles"].to_list()), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    shared = np.flatnonzero(often >= 2)
-    place = np.full(len(often), -1)
-    place[shared] = np.arange(len(shared))
-    row, column = row[place[column] >= 0], place[column[place[column] >= 0]]
-    both = np.zeros((len(sizes), len(sizes)), np.float32)
-    width = max(1, (1 << 22) // len(sizes))
-    for lo in range(0, len(shared), width):  # exact counts: products of zeros and ones
-        x = np.zeros((len(sizes), min(width, len(shared) - lo)), np.float32)
+        return []
+    sizes = np.array([len(x) for x in sets])
+    n = len(sizes)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    row, flat = np.repeat(np.arange(n), sizes)[order], flat[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) >= 2
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    width = max(1, (1 << 22) // n)
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(often.sum()), width):  # exact counts: products of zeros and ones
         here = (column >= lo) & (column < lo + width)
+        x = np.zeros((n, min(width, int(often.sum()) - lo)), np.float32)
         x[row[here], column[here] - lo] = 1
         both += x @ x.T
     links = (both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both) - 1e-6) & (comp[:, None] != comp[None, :])
@@ -200,26 +209,44 @@ def _joined(pdf):
             i = root[i]
         return i
 
-    ids, out = pdf["id"].to_numpy(), []
+    out = []
     for i in np.flatnonzero(links.any(axis=1)).tolist():
         near = np.flatnonzero(links[i])
         for c, k in zip(*np.unique(comp[near], return_index=True), strict=True):
             x, y = find(int(comp[i])), find(int(c))
             if x != y:
                 root[x] = y
-                out.append((ids[i], ids[near[k]]))
+                out.append((int(ids[i]), int(ids[near[k]])))
+    return out
+
+
+def _joined(pdf):
+    """Links of the keys in one group of whole keys, or of one block pair of a large key."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(["key", "id"], kind="stable")
+    keys, ids, comp, sets = pdf["key"].to_numpy(), pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["shingles"].to_list()
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    out, known = [], set()
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        members = ids[a:b].tobytes()
+        if members not in known:  # another band of the same members
+            known.add(members)
+            out += _member_links(ids[a:b], comp[a:b], sets[a:b])
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _rest(mixed: DataFrame, sets: DataFrame, members: int = 1000, shingles: int = 200_000) -> DataFrame:
-    """Links between components that still share a key. Members of a key are dealt to blocks of bounded size, and every two blocks are compared."""
+def _rest(mixed: DataFrame, sets: DataFrame, members: int = 1000, shingles: int = 200_000, together: int = 4000) -> DataFrame:
+    """Links between components that still share a key. A large key's members are dealt to blocks of bounded size, and every two blocks are compared; small keys go together."""
     sized = mixed.join(sets.select("id", F.size("shingles").alias("n")), "id")
     w = Window.partitionBy("key")
-    blocks = F.greatest(F.ceil(F.count("*").over(w) / members), F.ceil(F.sum("n").over(w) / shingles))
-    dealt = sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    dealt = dealt.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(_joined, "a bigint, b bigint").distinct()
+    groups = max(1, mixed.count() // together)
+    dealt = sized.withColumn("least", F.min("id").over(w)).withColumn("blocks", F.greatest(F.ceil(F.count("*").over(w) / members), F.ceil(F.sum("n").over(w) / shingles)))
+    # Keys with the same smallest member come to one group, which sees that several bands have the same members.
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("least"), F.lit(groups))))
+    dealt = dealt.select("key", "id", "component", "g", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "component", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(sets, "id").groupBy("g", "i", "j").applyInPandas(_joined, "a bigint, b bigint").distinct()
 
 
 def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, most_wanted: int = 1_000_000) -> DataFrame:

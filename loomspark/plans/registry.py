@@ -5,14 +5,328 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "token_counts_by_lang"
+from ..functions.text import content_hash, file_mentions, token_count
+from ..operators import assemble, budget, docs, edits, graph, ingest, memory, parse, route, telemetry
 
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "telemetry_summary"
 
-def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cost = F.greatest(F.lit(1), F.ceil(F.length("text") / 4))
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(cost).alias("tokens"))
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
 
-QUERIES = {"token_counts_by_lang": token_counts_by_lang}
-ORACLES = {"token_counts_by_lang": "SELECT lang, count(*) AS n_docs, CAST(sum(greatest(1, ceil(length(text) / 4.0))) AS BIGINT) AS tokens FROM documents GROUP BY lang"}
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# Requests derived from events: the model by the event's type, tokens from its value and props.
+def _requests(spark, sf):
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0).cast("bigint"))
+    model = F.when(F.col("event_type") == "purchase", "top").when(F.col("event_type") == "click", "middle").when(F.col("event_type") == "view", "small").otherwise("other")
+    return _table(spark, sf, "events").select("event_id", "ts", "user_id", model.alias("model"), F.floor(F.abs("value")).cast("bigint").alias("fresh_in"), (k * 10).alias("cached_in"), (k + 5).alias("out"))
+
+
+_REQUESTS = """
+r AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'purchase' THEN 'top' WHEN 'click' THEN 'middle' WHEN 'view' THEN 'small' ELSE 'other' END AS model,
+  CAST(floor(abs(value)) AS BIGINT) AS fresh_in, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) * 10 AS cached_in, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) + 5 AS "out" FROM events),
+p(model, p_in, p_cached, p_out) AS (VALUES ('top', 15.0::DOUBLE, 1.5::DOUBLE, 75.0::DOUBLE), ('middle', 3.0, 0.3, 15.0), ('small', 0.8, 0.08, 4.0)),
+c AS (SELECT r.*, CASE WHEN fresh_in + cached_in > 0 THEN cached_in / (fresh_in + cached_in)::DOUBLE ELSE 0.0 END AS hit,
+  (fresh_in * coalesce(p_in, 3.0::DOUBLE) + cached_in * coalesce(p_cached, 0.3::DOUBLE) + "out" * coalesce(p_out, 15.0::DOUBLE)) / 1e6 AS cost, ((fresh_in + cached_in) * coalesce(p_in, 3.0::DOUBLE) + "out" * coalesce(p_out, 15.0::DOUBLE)) / 1e6 AS naive
+  FROM r LEFT JOIN p USING (model))"""
+_SUMS = """count(*) AS requests, CAST(sum(fresh_in) AS BIGINT) AS fresh_in, CAST(sum(cached_in) AS BIGINT) AS cached_in, CAST(sum("out") AS BIGINT) AS "out",
+  round(coalesce(sum(cached_in) / nullif(sum(fresh_in) + sum(cached_in), 0)::DOUBLE, 0.0), 4) AS cache_hit_rate, round(sum(cost), 4) AS cost_usd, round(sum(naive), 4) AS cost_without_cache_usd, round(sum(naive) - sum(cost), 4) AS saved_usd"""
+
+
+@query(f"WITH {_REQUESTS} SELECT {_SUMS} FROM c")
+def telemetry_summary(spark, sf):
+    return telemetry.summary(telemetry.request_costs(_requests(spark, sf)))
+
+
+@query(f"WITH {_REQUESTS} SELECT model, {_SUMS} FROM c GROUP BY model")
+def telemetry_by_model(spark, sf):
+    return telemetry.summary(telemetry.request_costs(_requests(spark, sf)), ("model",))
+
+
+@query(f"WITH {_REQUESTS} SELECT event_id, model, fresh_in, cached_in, \"out\", round(hit, 6) AS cache_hit_rate, round(cost, 9) AS cost_usd FROM c")
+def request_costs(spark, sf):
+    costs = telemetry.request_costs(_requests(spark, sf))
+    return costs.select("event_id", "model", "fresh_in", "cached_in", "out", F.round("cache_hit_rate", 6).alias("cache_hit_rate"), F.round("cost_usd", 9).alias("cost_usd"))
+
+
+_COST = "CAST(greatest(1, ceil(length({0}) / 4.0)) AS BIGINT)"
+
+
+@query(f"SELECT lang, count(*) AS n_docs, CAST(sum({_COST.format('text')}) AS BIGINT) AS tokens FROM documents GROUP BY lang")
+def token_counts_by_lang(spark, sf):
+    return _table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(token_count(F.col("text"))).alias("tokens"))
+
+
+@query(f"""WITH x AS (SELECT p_brand, p_partkey, p_retailprice, {_COST.format("'  ' || p_name")} + 2 AS cost FROM part),
+y AS (SELECT *, 10 + sum(cost) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS used FROM x)
+SELECT p_brand, p_partkey, CAST(used AS BIGINT) AS used FROM y WHERE used <= 200""")
+def ranked_prefix_budget(spark, sf):
+    cost = token_count(F.concat(F.lit("  "), "p_name")) + 2
+    return budget.prefix_fit(_table(spark, sf, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], cost, F.lit(200), 10).select("p_brand", "p_partkey", "used")
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, {_COST.format("role || ': ' || text")} AS cost FROM conversations),
+y AS (SELECT conv_id, turn, sum(cost) OVER w AS used, row_number() OVER w AS age FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
+SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM y WHERE age = 1 OR used <= 120""")
+def verbatim_fit(spark, sf):
+    return budget.newest_fit(_table(spark, sf, "conversations"), 120).select("conv_id", "turn", "used")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 4 AS older FROM conversations")
+def last_k_split(spark, sf):
+    return budget.last_k(_table(spark, sf, "conversations")).select("conv_id", "turn", "older")
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, CASE WHEN list_last(s) = '' THEN s[1:len(s) - 1] ELSE s END AS s FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents)),
+e AS (SELECT doc_id, i, s[i] AS line FROM l, unnest(range(1, len(s) + 1)) AS t(i)),
+u AS (SELECT doc_id, i, line, sum({_COST.format('line')}) OVER (PARTITION BY doc_id ORDER BY i) AS used FROM e),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS head FROM u WHERE used <= 100 GROUP BY doc_id)
+SELECT l.doc_id, sha256(CASE WHEN {_COST.format('text')} <= 100 THEN text ELSE coalesce(head, '') || chr(10) || '… (clipped)' END) AS clipped_sha256 FROM l LEFT JOIN k USING (doc_id)""")
+def clip_head_lines(spark, sf):
+    return budget.clip_head(_table(spark, sf, "documents").select("doc_id", "text"), "text", 100).select("doc_id", F.sha2("clipped", 256).alias("clipped_sha256"))
+
+
+def _sets(spark, sf):
+    """Item sets of ten neighbouring documents, each with three rungs: text, its first 80 characters, its id."""
+    d = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rungs = F.array("text", F.substring("text", 1, 80), F.col("doc_id").cast("string"))
+    return d.select(
+        F.floor(F.col("doc_id") / 10).cast("bigint").alias("set_id"), (F.col("doc_id") % 10).cast("int").alias("item_idx"), rungs.alias("rungs"), F.transform(rungs, token_count).alias("costs"),
+        ((F.col("doc_id") * 7919) % 101 / 10).alias("relevance"), ((F.col("doc_id") % 3) - 1).cast("int").alias("priority"),
+    )
+
+
+_FIT = f"""
+i AS (SELECT doc_id // 10 AS set_id, CAST(doc_id % 10 AS INTEGER) AS item_idx, [{_COST.format("coalesce(text, '')")}, {_COST.format("substring(coalesce(text, ''), 1, 80)")}, {_COST.format("CAST(doc_id AS VARCHAR)")}] AS costs,
+  ((doc_id * 7919) % 101) / 10.0::DOUBLE AS relevance, CAST(doc_id % 3 - 1 AS INTEGER) AS priority FROM documents),
+s AS (SELECT set_id, item_idx, l, costs[l + 2] - costs[l + 1] AS delta, max(relevance / greatest(1, costs[l + 1])) OVER (PARTITION BY set_id, item_idx ORDER BY l) AS head FROM i, unnest([0, 1]) AS t(l)),
+st AS (SELECT set_id, sum(costs[1]) AS start FROM i GROUP BY set_id),
+b AS (SELECT s.*, start + coalesce(sum(delta) OVER (PARTITION BY set_id ORDER BY head, item_idx, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s JOIN st USING (set_id)),
+m AS (SELECT *, min(before) OVER (PARTITION BY set_id ORDER BY head, item_idx, l ROWS UNBOUNDED PRECEDING) AS least FROM b),
+lv AS (SELECT set_id, item_idx, count(*) FILTER (least > 300) AS level FROM m GROUP BY ALL),
+en AS (SELECT set_id, min(before) > 300 AS all_over, sum(delta) AS shrunk FROM m GROUP BY set_id),
+j AS (SELECT i.*, lv.level, costs[lv.level + 1] AS cost, start + shrunk AS total, all_over FROM i JOIN lv USING (set_id, item_idx) JOIN st USING (set_id) JOIN en USING (set_id)),
+f AS (SELECT *, all_over AND total > 300 AND priority <= 0 AND total - coalesce(sum(cost) OVER (PARTITION BY set_id ORDER BY priority <= 0 DESC, priority, relevance, item_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 300 AS dropped FROM j)"""
+
+
+@query(f"WITH {_FIT} SELECT set_id, item_idx, CAST(level AS INTEGER) AS level, cost, dropped FROM f")
+def greedy_fit(spark, sf):
+    return budget.greedy_fit(_sets(spark, sf), F.lit(300)).select("set_id", "item_idx", "level", "cost", "dropped")
+
+
+@query(f"WITH {_FIT} SELECT set_id, CAST(sum(costs[1]) AS BIGINT) AS tokens_before, CAST(coalesce(sum(cost) FILTER (NOT dropped), 0) AS BIGINT) AS tokens_after, CAST(sum(level) AS BIGINT) AS demotions, count(*) FILTER (dropped) AS drops FROM f GROUP BY set_id")
+def fit_report(spark, sf):
+    return budget.fit_report(budget.greedy_fit(_sets(spark, sf), F.lit(300)), F.lit(300)).select("set_id", "tokens_before", "tokens_after", "demotions", "drops")
+
+
+def _listings(spark, sf):
+    """A stored listing and a new one: some documents were removed, some added, some have another text."""
+    d = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    new = d.filter("doc_id % 11 <> 3").select("path", content_hash(F.col("text")).alias("hash"))
+    old = d.filter("doc_id % 13 <> 5").select("path", content_hash(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("hash"))
+    return new, old
+
+
+_DELTA = """
+n AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS h FROM documents WHERE doc_id % 11 <> 3),
+o AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(replace(text || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS h FROM documents WHERE doc_id % 13 <> 5),
+x AS (SELECT path, CASE WHEN n.h IS NULL THEN 'removed' WHEN n.h = o.h THEN 'skipped' ELSE 'parsed' END AS state FROM n FULL JOIN o USING (path))"""
+
+
+@query(f"WITH {_DELTA} SELECT path, state FROM x")
+def hash_delta(spark, sf):
+    return ingest.delta(*_listings(spark, sf))
+
+
+@query(f"WITH {_DELTA} SELECT count(*) FILTER (state = 'parsed') AS parsed, count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state = 'removed') AS removed FROM x")
+def ingest_counters(spark, sf):
+    return ingest.counters(ingest.delta(*_listings(spark, sf)))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(spark, sf):
+    return _table(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+def _adjacency(spark, sf):
+    """Supplier to next supplier in an order, by line number."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    line = _table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
+    return line.filter("dst IS NOT NULL").distinct()
+
+
+_ADJ = """a AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
+
+
+@query(f"WITH {_ADJ} SELECT src, dst FROM a")
+def distinct_adjacency(spark, sf):
+    return _adjacency(spark, sf)
+
+
+@query(f"WITH {_ADJ} SELECT src, count(*) AS out_degree FROM a GROUP BY src")
+def out_degree(spark, sf):
+    return graph.out_degree(_adjacency(spark, sf))
+
+
+@query(f"WITH {_ADJ} SELECT src, dst FROM a WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def semi_known_edges(spark, sf):
+    names = _table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("name"))
+    return graph.known_edges(_adjacency(spark, sf).withColumn("kind", F.lit("calls")), names)
+
+
+def _rank_sql(teleport: str) -> str:
+    steps = "".join(
+        f", r{i + 1} AS (SELECT n.node, 0.15 * n.t + 0.85 * ((SELECT coalesce(sum(r.s), 0) FROM r{i} r LEFT JOIN d ON d.src = r.node WHERE d.k IS NULL) * n.t + coalesce(g.s, 0)) AS s FROM n LEFT JOIN (SELECT a.dst, sum(r.s / d.k) AS s FROM a JOIN d ON d.src = a.src JOIN r{i} r ON r.node = a.src GROUP BY a.dst) g ON g.dst = n.node)"
+        for i in range(graph.ROUNDS)
+    )
+    return f"WITH {_ADJ}, d AS (SELECT src, count(*) AS k FROM a GROUP BY src), v AS (SELECT s_suppkey AS node, s_acctbal FROM supplier), n AS (SELECT node, {teleport} AS t FROM v), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS s FROM n){steps} SELECT node, round(s, 9) AS score FROM r{graph.ROUNDS}"
+
+
+def _nodes(spark, sf):
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+
+
+@query(_rank_sql("1.0::DOUBLE / (SELECT count(*) FROM v)"))
+def pagerank_uniform(spark, sf):
+    nodes = _nodes(spark, sf)
+    adjacency = _adjacency(spark, sf).join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+    return graph.pagerank(nodes, adjacency).select("node", F.round("score", 9).alias("score"))
+
+
+@query(_rank_sql("CASE WHEN node % 10 = 1 THEN 3.0::DOUBLE ELSE 0 END / (SELECT sum(3.0::DOUBLE) FROM v WHERE node % 10 = 1)"))
+def pagerank_seeded(spark, sf):
+    nodes = _nodes(spark, sf)
+    return graph.pagerank(nodes, _adjacency(spark, sf), nodes.filter("node % 10 = 1").withColumn("weight", F.lit(3.0))).select("node", F.round("score", 9).alias("score"))
+
+
+@query("SELECT p_name AS name, arg_min(p_partkey, (CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END, p_partkey)) AS start_line FROM part GROUP BY p_name")
+def rank_representative(spark, sf):
+    kind = F.when(F.col("p_type").contains("STEEL"), "variable").otherwise("function")
+    symbols = _table(spark, sf, "part").select(F.col("p_name").alias("name"), kind.alias("kind"), F.lit("f").alias("file"), F.col("p_partkey").alias("start_line"))
+    return graph.representatives(symbols).select("name", "start_line")
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 4 AS older FROM conversations),
+o AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS u, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS s FROM x WHERE older GROUP BY conv_id)
+SELECT conv_id, CASE WHEN trim(u, ' ' || chr(10)) = '' THEN '(turn distilled)' ELSE substring(string_split(trim(u, ' ' || chr(10)), chr(10))[1], 1, 160) END AS decision,
+CASE WHEN trim(s, ' ' || chr(10)) = '' THEN '(no rationale captured)' ELSE substring(string_split(trim(s, ' ' || chr(10)), chr(10))[1], 1, 160) END AS rationale FROM o""")
+def distill_conversations(spark, sf):
+    return memory.compress(_table(spark, sf, "conversations"))[0].select("conv_id", "decision", "rationale")
+
+
+@query("""SELECT doc_id, i - 1 AS pos, m[i] AS mention FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_./\\\\-]+\\.[\\p{L}\\p{N}_]{1,5}') AS m FROM documents), unnest(range(1, len(m) + 1)) AS t(i)""")
+def file_mentions_in_documents(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode(file_mentions(F.col("text"))).alias("pos", "mention")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'codegen' WHEN 'click' THEN 'summarize' WHEN 'view' THEN 'classify' ELSE 'unknown' END AS task,
+CASE WHEN event_type IN ('click', 'view') THEN 'local' ELSE 'frontier' END AS tier FROM events""")
+def route_tasks(spark, sf):
+    kind = F.col("event_type")
+    task = F.when(kind == "purchase", "codegen").when(kind == "click", "summarize").when(kind == "view", "classify").otherwise("unknown")
+    return _table(spark, sf, "events").select("event_id", task.alias("task"), route.tier(task).alias("tier"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS markdown FROM pages""")
+def page_text(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", docs.html_text(F.col("html")).alias("markdown"))
+
+
+@query("SELECT sha256(html) AS digest, count(*) AS n FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 4 = 0) GROUP BY 1")
+def doc_cache_misses(spark, sf):
+    pages = _table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
+    return pages.join(pages.filter("page_id % 4 = 0").select("digest"), "digest", "left_anti").groupBy("digest").agg(F.count("*").alias("n"))
+
+
+_BLOCKS = f"""
+x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age, {_COST.format("role || ': ' || text")} AS cost FROM conversations),
+old AS (SELECT conv_id, text FROM x WHERE age > 1),
+v AS (SELECT conv_id, turn, role, text, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used, age FROM x WHERE age > 1),
+b AS (SELECT conv_id, 1 AS layer, 'You answer briefly.' AS text FROM x WHERE age = 1
+  UNION ALL SELECT conv_id, 5, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) FROM v WHERE age = 2 OR used <= 67200 GROUP BY conv_id
+  UNION ALL SELECT conv_id, 6, text FROM x WHERE age = 1)"""
+
+
+def _blocks(spark, sf):
+    """System, verbatim (all but the last turn) and user (the last turn) layers of each conversation."""
+    from pyspark.sql import Window
+
+    turns = _table(spark, sf, "conversations").withColumn("age", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
+    last = turns.filter("age = 1")
+    older = turns.filter("age > 1").drop("age")
+    budgets = assemble.Budgets()
+    return assemble.assemble({"system": last.select("conv_id", F.lit("You answer briefly.").alias("text")), "verbatim": assemble.verbatim_text(older, budgets.share("verbatim")), "user": last.select("conv_id", "text")}, budgets)
+
+
+@query(f"WITH {_BLOCKS} SELECT conv_id, layer, sha256(text) AS text_sha256, layer <= 3 AS cached, {_COST.format('text')} AS tokens FROM b WHERE trim(text, ' ' || chr(10)) <> ''")
+def assemble_prompt(spark, sf):
+    return _blocks(spark, sf).select("conv_id", "layer", F.sha2("text", 256).alias("text_sha256"), "cached", "tokens")
+
+
+@query(f"""WITH {_BLOCKS}, t AS (SELECT conv_id, layer, {_COST.format('text')} AS tokens FROM b WHERE trim(text, ' ' || chr(10)) <> '')
+SELECT conv_id, CAST(coalesce(sum(tokens) FILTER (layer <= 3), 0) AS BIGINT) AS cached_tokens, CAST(coalesce(sum(tokens) FILTER (layer > 3), 0) AS BIGINT) AS fresh_tokens, CAST(sum(tokens) AS BIGINT) AS total_tokens, max(layer) FILTER (layer <= 3) AS breakpoint_after FROM t GROUP BY conv_id""")
+def layer_token_totals(spark, sf):
+    return assemble.totals(_blocks(spark, sf))
+
+
+def _code(spark, sf):
+    """Python sources written from the part table: a class with a method, a function, a variable and calls for each brand."""
+    part = _table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
+    k = F.col("k").cast("string")
+    body = F.concat(F.lit("import os\nlimit_"), k, F.lit(" = 3\n\nclass C"), k, F.lit(":\n    def run(self):\n        return f"), k, F.lit("(1)\n\n    x = f"), k, F.lit("(2)\n\ndef f"), k, F.lit("(a):\n    return len(a)\n"))
+    return part.select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(".py")).alias("path"), body.alias("text"))
+
+
+_CODE = "c AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '.py' AS file, CAST(min(p_partkey) AS VARCHAR) AS k FROM part GROUP BY p_brand)"
+
+
+@query(f"""WITH {_CODE} SELECT file, 'limit_' || k AS name, 'variable' AS kind, 2 AS start_line, 2 AS end_line FROM c UNION ALL SELECT file, 'C' || k, 'class', 4, 9 FROM c
+UNION ALL SELECT file, 'run', 'method', 5, 7 FROM c UNION ALL SELECT file, 'f' || k, 'function', 10, 11 FROM c""")
+def parse_symbols(spark, sf):
+    return parse.symbols(parse.lines(_code(spark, sf))).drop("signature")
+
+
+@query(f"WITH {_CODE} SELECT file, '<module>' AS src, 'import os' AS dst, 'imports' AS kind, 1 AS n FROM c UNION ALL SELECT file, 'C' || k, 'f' || k, 'calls', 6 FROM c UNION ALL SELECT file, 'C' || k, 'f' || k, 'calls', 8 FROM c")
+def parse_edges(spark, sf):
+    return parse.edges(parse.lines(_code(spark, sf))).drop("pos")
+
+
+@query()
+def ranked_code_symbols(spark, sf):
+    numbered = parse.lines(_code(spark, sf))
+    return graph.rank_symbols(parse.symbols(numbered), parse.edges(numbered)).select("name", "kind", "file", F.round("score", 9).alias("score"))
+
+
+def _edit_texts(spark, sf):
+    """An edit for each benchmark item: its first line is replaced; every third anchor has a changed word, every seventh names no file."""
+    b = _table(spark, sf, "benchmark").select("item_id", "text", F.get(F.split("text", "\n"), F.lit(0)).alias("first"))
+    anchor = F.when(F.col("item_id") % 3 == 0, F.concat("first", F.lit(" zz"))).otherwise(F.col("first"))
+    path = F.concat(F.when(F.col("item_id") % 7 == 6, F.lit("none/")).otherwise(F.lit("b/")), F.col("item_id").cast("string"), F.lit(".txt"))
+    s, m, e = "<" * 7 + " SEARCH", "=" * 7, ">" * 7 + " REPLACE"
+    return b.select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", path, F.lit(s), anchor, F.lit(m), F.lit("new line"), F.lit(e)).alias("text"))
+
+
+@query("""SELECT item_id AS doc_id, 0 AS hunk_idx, CASE WHEN item_id % 7 = 6 THEN 'none/' ELSE 'b/' END || item_id || '.txt' AS path, string_split(text, chr(10))[1] || CASE WHEN item_id % 3 = 0 THEN ' zz' ELSE '' END AS search, 'new line' AS replace FROM benchmark""")
+def edit_blocks(spark, sf):
+    return edits.parse_blocks(_edit_texts(spark, sf))
+
+
+@query()
+def apply_edits(spark, sf):
+    files = _table(spark, sf, "benchmark").select(F.concat(F.lit("b/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return edits.apply_hunks(edits.parse_blocks(_edit_texts(spark, sf)), files).select("doc_id", "hunk_idx", "path", "ok", "detail", F.round("ratio", 6).alias("ratio"), F.sha2("new_text", 256).alias("new_sha256"))

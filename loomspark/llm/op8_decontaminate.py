@@ -5,8 +5,8 @@ corpus is one shard, so that lists of one document are intersected where they ar
 window of test terms is looked up from its rarest term (by exact corpus counts); the lists of its other terms, adjusted by
 their offsets, must hold the same start, which the posting's neighbouring tokens tell. Frequent terms never produce rows.
 
-The windows of the benchmark are broadcast while they number at most `max_windows` (a checked bound); beyond it the same
-join runs by shuffle on the term.
+The windows of the benchmark are broadcast. A broadcast holds about `max_windows` of them; a larger benchmark is dealt to
+blocks by term, and the shards are read once for each block.
 """
 
 from __future__ import annotations
@@ -36,10 +36,22 @@ def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", at.alias("at")).select("item_id", F.slice("w", F.col("at"), size).alias("terms")).distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+def _blocks(df: DataFrame, n: int) -> list[DataFrame]:
+    """df (term, ...) in n parts by term, each to be broadcast."""
+    return [F.broadcast(df if n == 1 else df.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == b)) for b in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, blocks: int) -> DataFrame:
     """Occurrences in all documents of each test term."""
     seen = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-    return seen.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return _union([seen.join(part, "term", "left_semi") for part in _blocks(terms, blocks)]).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -50,28 +62,28 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return each.groupBy("w", "item_id", "terms").agg(best).select("item_id", "terms", F.size("terms").alias("len"), F.col("b.term").alias("term"), F.col("b.off").alias("off"))
 
 
+def _anchors(docs: DataFrame, items: DataFrame, size: int, max_windows: int) -> list[DataFrame]:
+    windows = windows_of(items, size)
+    blocks = max(1, -(-windows.count() // max_windows))
+    counts = term_counts(docs, windows.select(F.explode("terms").alias("term")).distinct(), blocks)
+    return _blocks(anchored(windows, counts), blocks)
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_windows: int = 200_000) -> DataFrame:
     """Every exact occurrence: doc_id, h (hash of the text, which tells rows of one identifier apart), item_id, start and end positions of words (end is exclusive)."""
-    windows = windows_of(items, size)
-    small = windows.count() <= max_windows
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    anchors = anchored(windows, term_counts(docs, terms, small))
     posted = docs.select("doc_id", F.xxhash64("text").alias("h"), tokens(F.col("text")).alias("words")).select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
     start = F.col("pos") - F.col("off")
     same = (F.col("word") == F.col("term")) & (start >= 0) & (F.slice("words", start + 1, F.col("len")) == F.col("terms"))
-    return posted.join(F.broadcast(anchors) if small else anchors, same).select("doc_id", "h", "item_id", start.alias("start"), (start + F.col("len")).alias("end"))
+    return _union([posted.join(part, same).select("doc_id", "h", "item_id", start.alias("start"), (start + F.col("len")).alias("end")) for part in _anchors(docs, items, size, max_windows)])
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 4, size: int = WINDOW, max_windows: int = 200_000) -> DataFrame:
     """Places where all distinct terms of a window occur within its length plus `slop` words around its rarest term: doc_id, item_id, pos (of that term)."""
-    windows = windows_of(items, size)
-    small = windows.count() <= max_windows
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    anchors = anchored(windows, term_counts(docs, terms, small))
     posted = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
     begin = F.greatest(F.lit(1), F.col("pos") - F.col("off") - F.lit(slop) + 1)
     near = F.slice("words", begin, F.col("len") + 2 * slop)
-    return posted.join(F.broadcast(anchors) if small else anchors, (F.col("word") == F.col("term")) & (F.size(F.array_except("terms", near)) == 0)).select("doc_id", "item_id", "pos").distinct()
+    same = (F.col("word") == F.col("term")) & (F.size(F.array_except("terms", near)) == 0)
+    return _union([posted.join(part, same).select("doc_id", "item_id", "pos") for part in _anchors(docs, items, size, max_windows)]).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, with_hash: bool = False) -> DataFrame:

@@ -88,7 +88,16 @@ def _encode(path: str):
         tok.no_padding()
         alike, specials = _splits_alike(path)
         memo: dict[str, int] | None = {} if alike else None
+        seen: set[str] = set()
         for b in chunks(batches, 1 << 19):
+            if len(seen) > MEMO:
+                seen.clear()
+            new = []
+            for i, d in enumerate(b.column("digest").to_pylist()):
+                if d not in seen:  # rows that repeat both identifier and text stand for one digest
+                    seen.add(d)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(_counts(b.column("text").to_pylist(), tok, specials, memo), pa.int64())], ["digest", "n_tokens"])
 
     return run
@@ -111,7 +120,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
     # One document stands for each missing digest; the join is on identifier and digest, so that copies are dropped without gathering them.
     named = keyed.join(misses.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
     fresh = named.select("digest", "text").mapInArrow(_encode(path), "digest string, n_tokens bigint")
-    fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
+    fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = _stored(spark, cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

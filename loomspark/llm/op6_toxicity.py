@@ -112,8 +112,12 @@ def _stems_in(batches):
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array([label] * len(stems), pa.int32())], ["stem", "label"])
 
 
-def learn(sample: DataFrame, least: int = 8, ratio: float = 12.0, most: int = MOST_STEMS) -> Grammar:
-    """Stems and the logistic curve, from a bounded sample (text, label)."""
+def learn(sample: DataFrame, least: int = 8, least_pure: int = 5, purity: int = 10, most: int = MOST_STEMS) -> Grammar:
+    """Stems and the logistic curve, from a bounded sample (text, label).
+
+    A stem stands in `least` toxic texts and `purity` times as many as clean ones, or in `least_pure` and no clean one: so
+    few of all stems do by chance that the curve leaves a single weak one below the threshold.
+    """
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
     toxic, clean = totals["t"], totals["n"] - totals["t"]
     if not toxic or not clean:
@@ -121,7 +125,8 @@ def learn(sample: DataFrame, least: int = 8, ratio: float = 12.0, most: int = MO
     seen = sample.mapInArrow(_stems_in, "stem string, label int").groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     odds = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
     need = max(2, min(least, toxic // 10))
-    best = seen.filter((F.col("t") >= need) & (odds >= ratio) & (F.col("t") >= 4 * F.col("c"))).select("stem", F.log(odds).alias("weight")).orderBy(F.desc("weight"), "stem").limit(most)
+    pure = (F.col("c") == 0) & (F.col("t") >= min(need, least_pure))
+    best = seen.filter(pure | (F.col("t") >= need) & (F.col("t") >= purity * F.col("c"))).select("stem", F.log(odds).alias("weight")).orderBy(F.desc("weight"), "stem").limit(most)
     stems = {r["stem"]: float(r["weight"]) for r in best.collect()}
 
     def weigh(batches):

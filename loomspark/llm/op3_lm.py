@@ -5,13 +5,15 @@ count c is stored as its level 1 + floor(log2 c): the filter holds the pairs (n-
 back by probing level after level until a probe fails, so it is never too low.
 
 The filter is made where the counts are merged: each bucket of the n-gram hashes has a slice of bits, sized by its own
-entries up to max_bits / buckets. max_bits bounds what is broadcast; beyond it the error rate rises (and is corrected for
-on average), and no n-gram is left out.
+entries up to max_bits / buckets. max_bits bounds what is broadcast; beyond it the error rate rises, and no n-gram is left
+out. A level stands for the mean of the counts that have it, so that read counts sum to the true ones.
 
 P(text) = sum over classes k of pi_k * product over tokens of P_k(w | v),
-P_k(w | v) = l * t * c(v w) / c(v) + (1 - l) * ((1 - m) * c(k, w) / N_k + m * (c(w) + 0.5) / (N + 0.5 * (V + 1))),
-where counts but the last come from the filter, t is the share of a bigram's hits that aren't false, and l is 0 without
-a count of v. Classes are mixed within the text's probability; the class column of a scored row isn't read.
+P_k(w | v) = l * c(v w) / (c(v) + f V) + (1 - l) * ((1 - m) * c(k, w) / (N_k + f V) + m * (c(w) + 0.5) / (N + 0.5 * (V + 1))),
+where counts but the last come from the filter and f is its rate of false hits: f V is what false hits add to the counts read
+for one context, so that each term's expected sum over all words is one. l = LAMBDA c(v) / (c(v) + f V), less where false
+hits prevail. Every factor depends on the text and the model alone. Classes are mixed within the text's probability; the
+class column of a scored row isn't read.
 
 The last term is the exact unigram base. Its table is broadcast while it has at most max_vocab entries; beyond that, exact
 counts are joined to the tokens by shuffle, with the same results.
@@ -33,6 +35,7 @@ END, BEGIN = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344)
 FOLDS, HELD_OUT = 5, 1
 UNIGRAM, BIGRAM, CLASS, TOTALS = 0, 1, 2, 3
 HASHES = 4
+LEVELS = 64
 LAMBDA, MU = 0.2, 0.15
 FLUSH = 1 << 21
 
@@ -144,7 +147,7 @@ def _reduced(bits: int, most_bits: int):
     def run(key, pdf):
         import pandas as pd
 
-        entries, vocab, counts, totals = [], np.zeros(0, _U), np.zeros(0, np.int64), b""
+        entries, vocab, counts, totals, levels = [], np.zeros(0, _U), np.zeros(0, np.int64), b"", np.zeros((2, LEVELS, 2), np.int64)
         for kind, part in pdf.groupby("kind"):
             if kind == TOTALS:
                 totals = np.sum([np.frombuffer(x, np.int64) for x in part["counts"]], axis=0).tobytes()
@@ -157,7 +160,8 @@ def _reduced(bits: int, most_bits: int):
                 wide[:, :5] = np.frombuffer(b"".join(part["keys"]), np.uint8).reshape(-1, 5)
                 rest, n = _merge(wide.view(_U).ravel(), n)
                 entries.append((rest, levels_of(n)))
-        return pd.DataFrame({"bucket": [int(key[0])], "keys": [vocab.tobytes()], "counts": [counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64).tobytes()], "n": [len(vocab)], "total": [int(counts.sum())], "bits": [_slice(entries, most_bits)], "totals": [totals]})
+                np.add.at(levels[int(kind) - BIGRAM], entries[-1][1], np.stack([np.ones_like(n), n], axis=1))
+        return pd.DataFrame({"bucket": [int(key[0])], "keys": [vocab.tobytes()], "counts": [counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64).tobytes()], "n": [len(vocab)], "total": [int(counts.sum())], "bits": [_slice(entries, most_bits)], "totals": [totals], "levels": [levels.tobytes()]})
 
     return run
 
@@ -176,6 +180,11 @@ class Model:
     classes: list[str]
     class_tokens: list[int]
     class_docs: list[int]
+    means: np.ndarray | None = None
+
+    def count(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Counts that the levels of salted keys of one kind (BIGRAM or CLASS) stand for."""
+        return self.means[kind - BIGRAM][np.minimum(self.level(keys), LEVELS - 1)]
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes."""
@@ -199,9 +208,10 @@ class Model:
         return (int(np.bitwise_count(self.filter).sum(dtype=np.int64)) / max(1, len(self.filter) * 8)) ** HASHES
 
 
-#: The count a level stands for: 1, then the geometric middle of [2^(n-1), 2^n).
-def _count(level: np.ndarray) -> np.ndarray:
-    return np.where(level <= 1, level, 2.0 ** (level - 0.5))
+def mean_counts(levels: np.ndarray) -> np.ndarray:
+    """The count each level stands for, from (entries, sum of counts); a level without entries takes its range's middle."""
+    middle = np.append(0.0, 1.5 * 2.0 ** np.arange(LEVELS - 1) - 0.5)
+    return np.where(levels[..., 0] > 0, levels[..., 1] / np.maximum(1, levels[..., 0]), middle)
 
 
 def train(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000, max_classes: int = 8) -> tuple[Model, DataFrame]:
@@ -213,13 +223,14 @@ def train(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000,
     classes = [r["cls"] for r in top] or [""]
     bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     parts = typed.mapInArrow(_counted(classes, bits), "kind int, bucket int, keys binary, counts binary")
-    merged = cut(parts.groupBy("bucket").applyInPandas(_reduced(bits, max_bits >> bits), "bucket int, keys binary, counts binary, n bigint, total bigint, bits binary, totals binary"), "lm")
+    merged = cut(parts.groupBy("bucket").applyInPandas(_reduced(bits, max_bits >> bits), "bucket int, keys binary, counts binary, n bigint, total bigint, bits binary, totals binary, levels binary"), "lm")
     sums = merged.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     slices = [np.zeros(0, np.uint8)] * (1 << bits)
     vocab, counts, totals = [None] * (1 << bits), [None] * (1 << bits), [0] * len(classes)
-    small = sums[0] <= max_vocab
-    for r in merged.select("bucket", "bits", "totals", *(["keys", "counts"] if small else [])).toLocalIterator():
+    small, levels = sums[0] <= max_vocab, np.zeros((2, LEVELS, 2), np.int64)
+    for r in merged.select("bucket", "bits", "totals", "levels", *(["keys", "counts"] if small else [])).toLocalIterator():
         slices[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+        levels += np.frombuffer(r["levels"], np.int64).reshape(levels.shape)
         if r["totals"]:
             totals = np.frombuffer(r["totals"], np.int64).tolist()
         if small:
@@ -229,14 +240,14 @@ def train(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000,
     known = {r["cls"]: r["count"] for r in top}
     n_docs = [known.get(c, 0) for c in classes]
     sizes = np.array([len(x) for x in slices], np.int64)
-    return Model(bits, np.concatenate(slices), sizes, joined(vocab, _U) if small else None, joined(counts, np.uint32) if small else None, int(sums[1]), int(sums[0]), classes, totals, n_docs), merged
+    return Model(bits, np.concatenate(slices), sizes, joined(vocab, _U) if small else None, joined(counts, np.uint32) if small else None, int(sums[1]), int(sums[0]), classes, totals, n_docs, mean_counts(levels)), merged
 
 
 def _scored(shared, exact: bool):
     def run(batches):
         model: Model = shared.value
         unseen = model.total + 0.5 * (model.distinct + 1)
-        false = model.false_rate()
+        noise = model.false_rate() * model.distinct
         salts = np.array([hash_class(c) for c in model.classes], _U)
         share = np.array(model.class_docs, float) + 1
         prior, size = np.log10(share / share.sum()), np.array(model.class_tokens, float)
@@ -244,7 +255,7 @@ def _scored(shared, exact: bool):
             tokens, before, first = token_stream(batch.column("text"))
             n = np.diff(first)
             distinct, back = np.unique(tokens, return_inverse=True)
-            by_class = np.array([_count(model.level(_salted(CLASS, _pair(np.full(len(distinct), s, _U), distinct)))) for s in salts])
+            by_class = np.array([model.count(_salted(CLASS, _pair(np.full(len(distinct), s, _U), distinct)), CLASS) for s in salts])
             context = by_class.sum(axis=0)
             if exact and len(model.vocab):
                 at = np.minimum(np.searchsorted(model.vocab, distinct), len(model.vocab) - 1)
@@ -256,12 +267,10 @@ def _scored(shared, exact: bool):
             c1 = np.empty(len(tokens))
             c1[1:] = context[back[:-1]]
             c1[first[:-1]] = max(1, sum(model.class_docs))
-            level = model.level(_salted(BIGRAM, _pair(before, tokens)))
-            rate = max(float((level > 0).mean()), 1e-9) if len(level) else 1.0
-            trust = max(0.0, (rate - false) / (rate * (1 - false))) if false < 1 else 0.0
-            ratio = np.minimum(1.0, trust * _count(level) / np.maximum(c1, 1.0))
-            lam = np.where(c1 > 0, LAMBDA, 0.0)
-            sums = np.stack([np.add.reduceat(np.log10(lam * ratio + (1 - lam) * ((1 - MU) * np.minimum(1.0, by_class[k][back] / max(1.0, size[k])) + MU * base[back])), first[:-1]) + prior[k] for k in range(len(salts))])
+            reads = np.maximum(c1 + noise, 1.0)
+            lam = LAMBDA * c1 / reads
+            ratio = np.minimum(1.0, model.count(_salted(BIGRAM, _pair(before, tokens)), BIGRAM) / reads)
+            sums = np.stack([np.add.reduceat(np.log10(lam * ratio + (1 - lam) * ((1 - MU) * np.minimum(1.0, by_class[k][back] / max(1.0, size[k] + noise)) + MU * base[back])), first[:-1]) + prior[k] for k in range(len(salts))])
             top = sums.max(axis=0)
             score = np.minimum(0.0, top + np.log10((10.0 ** (sums - top)).sum(axis=0)))
             cols = [batch.column("row"), pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0)[back].astype(np.int64), first[:-1])), pa.array(np.add.reduceat(np.log10(base)[back], first[:-1])), pa.array(score)]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +49,77 @@ def colliding(keys: DataFrame, name: str) -> DataFrame:
     return cut(both.filter("pivot <> _most").drop("_most").distinct(), name)
 
 
-def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[tuple[int, int]]:
+    """Of links (a, b) between components (ca, cb), those that join components not joined by earlier ones."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
+            root[i] = root.get(root[i], root[i])
+            i = root[i]
+        return i
+
+    out = []
+    for x, y, cx, cy in zip(a.tolist(), b.tolist(), ca.tolist(), cb.tolist(), strict=True):
+        x_root, y_root = find(cx), find(cy)
+        if x_root != y_root:
+            root[x_root] = y_root
+            out.append((x, y))
+    return out
+
+
+def _blockwise(many: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], members: int) -> DataFrame:
+    """Links (a, b) between the components of each key: its members are dealt to blocks of bounded size, and every two blocks are compared."""
+
+    def joined(pdf):
+        import pandas as pd
+
+        ids, comp = pdf["id"].to_numpy(), pdf["component"].to_numpy()
+        out: list[tuple[int, int]] = []
+        for lo in range(0, len(ids), 256):
+            i, j = np.nonzero(near(ids[lo : lo + 256, None], ids[None, :]) & (comp[lo : lo + 256, None] < comp[None, :]))
+            if not len(i):
+                continue
+            _, one = np.unique(np.stack([comp[lo + i], comp[j]]), axis=1, return_index=True)  # one link for two components
+            i, j = i[one] + lo, j[one]
+            out += spanning(ids[i], ids[j], comp[i], comp[j])
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    blocks = F.ceil(F.col("size") / members)
+    dealt = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).groupBy("key", "i", "j").applyInPandas(joined, "a bigint, b bigint").distinct()
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows (key, id, component) whose key stands in two components, with the key's size."""
+    w = Window.partitionBy("key")
+    marked = labelled.withColumn("_a", F.min("component").over(w)).withColumn("_b", F.max("component").over(w)).withColumn("size", F.count("*").over(w))
+    return marked.filter("_a <> _b").select("key", "id", "component", "size")
+
+
+def linked(
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[np.ndarray, np.ndarray], np.ndarray], finer: Callable[[DataFrame], DataFrame], name: str, small: int = 32, members: int = 2000, hot: int = 8000
+) -> DataFrame:
     """node, component over all verified links between ids that share a key.
 
     First each id is compared with its key's smallest (a number of pairs in proportion to the rows), and the links are
-    joined up. Then only pairs that share a key and still are in different components are compared, which can add every
-    link that matters to a component and none that doesn't. verify gets pairs (a, b), distinct, and keeps those that link.
+    joined up. Then only members of keys that still have several components are compared, which can add every link that
+    matters to a component and none that doesn't: up to `small` members by a join of pairs (so at most small / 2 for each
+    row), more in blocks of `members`, of which only links that join components are emitted. A key of over `hot` members is
+    first split by finer, which maps rows (key, id, component) to finer keys that lose no link.
+
+    verify gets pairs (a, b), distinct, and keeps those that link; near does the same for arrays of ids.
     """
     star = verify(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     first = cut(components(star, name), name)
-    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    w = Window.partitionBy("key")
-    mixed = cut(labelled.withColumn("_a", F.min("component").over(w)).withColumn("_b", F.max("component").over(w)).filter("_a <> _b").drop("_a", "_b"), name)
-    left = mixed.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    # Pairs already compared with the key's smallest id need no second look.
-    rest = left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    more = cut(verify(rest), name)
-    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")), name)
+    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = cut(_mixed(labelled), name)
+    few = mixed.filter(F.col("size") <= small)
+    left = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    pairs = verify(left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()).select("a", "b")
+    split = _mixed(finer(mixed.filter(F.col("size") > hot).select("key", "id", "component")).distinct())
+    many = mixed.filter((F.col("size") > small) & (F.col("size") <= hot)).unionByName(split)
+    more = cut(pairs.unionByName(_blockwise(many, near, members)), name)
+    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), name)

@@ -9,11 +9,13 @@ Of 3 or fewer differing bits over three segments, the two segments with fewest h
 has none or all three have exactly 1. So fingerprints that link share one of these keys:
 - (exact segment i, codeword of segment j), for the six ordered pairs: primary on one side, probes on the other;
 - (codewords of all three): primary of the first and probes of the others on one side, the converse on the other.
-Pairs that share a key are verified by counting differing bits. Equal fingerprints are one item from the start.
+Ids that share a key are verified by counting differing bits, in blocks where a key has many. Equal fingerprints are one item from the start.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -151,6 +153,21 @@ def print_keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "key bigint, id bigint")
 
 
+#: Six parts of a fingerprint, as masks.
+PARTS = [((1 << b) - 1) << s for s, b in ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer_keys(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, component) under 20 finer keys each: 3 or fewer differing bits leave three of six parts equal."""
+    masks = [_signed(a | b | c) for a, b, c in itertools.combinations(PARTS, 3)]
+    keys = F.array(*[F.xxhash64("key", F.lit(i), F.col("id").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
+    return rows.select(F.explode(keys).alias("key"), "id", "component")
+
+
 def simhash_components(docs: DataFrame, bits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fingerprint, component_id (and columns named in keep); one row per input row.
 
@@ -162,7 +179,8 @@ def simhash_components(docs: DataFrame, bits: int = 3, keep: tuple[str, ...] = (
     rows = cut(fingerprint(docs.select("doc_id", "text", *keep), keep), "prints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     near = lambda pairs: pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    parts = linked(colliding(print_keys(distinct), "keys"), near, "simhash")
+    close = lambda a, b: np.bitwise_count((a ^ b).view(np.uint64)) <= bits
+    parts = linked(colliding(print_keys(distinct), "keys"), near, close, finer_keys, "simhash")
     classes = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = classes.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id")

@@ -173,6 +173,25 @@ def test_lm_filter_never_counts_too_low():
     assert (m.level(rnd.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.1
 
 
+def test_lm_scores_depend_on_the_text_alone(spark, sf):
+    df = textops.load(spark, sf, "documents")
+    a, b = ({r["doc_id"]: r["score"] for r in op3_lm.score(x).collect()} for x in (df.coalesce(1), df.repartition(7)))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-12) for i in a)
+
+
+def test_lm_terms_sum_to_about_one(spark, sf):
+    m, _ = op3_lm.train(textops.load(spark, sf, "documents"))
+    noise = m.false_rate() * m.distinct
+    pair = lambda a: op3_lm._pair(np.full(m.distinct, a, np.uint64), m.vocab)
+    by_class = [m.count(op3_lm._salted(op3_lm.CLASS, pair(op3_lm.hash_class(c))), op3_lm.CLASS) for c in m.classes]
+    for n, read in zip(m.class_tokens, by_class, strict=True):
+        assert read.sum() / (n + noise) == pytest.approx(1, abs=0.1)
+    total = sum(by_class)
+    often = np.argsort(-m.counts.astype(np.int64))
+    sums = [m.count(op3_lm._salted(op3_lm.BIGRAM, pair(m.vocab[v])), op3_lm.BIGRAM).sum() / (total[v] + noise) for v in often[[3, 10, 30, 100, 300, 1000, -1]]]
+    assert np.mean(sums) == pytest.approx(1, abs=0.15) and max(sums) < 1.5
+
+
 def test_lm_edges(edge_docs, no_docs, spark):
     rows = op3_lm.score(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2, 3))
@@ -449,9 +468,11 @@ def test_simhash(spark, sf, docs, edge_docs, no_docs):
     assert op10_simhash.simhash_components(no_docs).count() == 0
 
 
-def test_simhash_many_near_prints(spark):
+@pytest.mark.parametrize(("small", "members", "hot"), [(32, 2000, 8000), (2, 5, 1000), (2, 5, 8)])
+def test_simhash_many_near_prints(spark, small, members, hot):
+    """Chains, and many fingerprints that share 44 bits; by pairs, in blocks, and under finer keys."""
     rnd = random.Random(12)
-    prints = []
+    prints = [(0xABCDE << 44) | (rnd.getrandbits(8) << 36) | 0x123456789 for _ in range(60)] + [rnd.getrandbits(20) for _ in range(60)]
     for _ in range(6):
         p = rnd.getrandbits(64)
         for _ in range(25):
@@ -462,7 +483,7 @@ def test_simhash_many_near_prints(spark):
     df = spark.createDataFrame([(x,) for x in set(signed)], "fp bigint")
     from pyspark.sql import functions as F
 
-    parts = links.linked(links.colliding(op10_simhash.print_keys(df), "t"), lambda x: x.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3), "t")
+    parts = links.linked(links.colliding(op10_simhash.print_keys(df), "t"), lambda x: x.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3), lambda a, b: np.bitwise_count((a ^ b).view(np.uint64)) <= 3, op10_simhash.finer_keys, "t", small, members, hot)
     got = {r["node"]: r["component"] for r in parts.collect()}
     want = brute_components(list(enumerate(prints)))
     for i, _, c in want:

@@ -159,6 +159,21 @@ def test_lm_joined_counts_agree(spark, sf):
     assert all(b[i]["base_score"] == pytest.approx(a[i]["base_score"], rel=1e-9) and b[i]["n_known"] == a[i]["n_known"] for i in a)
 
 
+def test_lm_shuffled_filter_agrees(spark, sf, edge_docs):
+    """A filter that is too large to broadcast keeps its bits, so that scores are those of the broadcast one."""
+    df = textops.load(spark, sf, "documents")
+    m, _ = op3_lm.train(df, max_bits=1 << 12)
+    assert m.vocab is None and m.false_rate() == pytest.approx(op3_lm.train(df)[0].false_rate()) and m.false_rate() < 0.03
+    for docs in (df, edge_docs):
+        a, b = (sorted(map(tuple, op3_lm.score(docs, max_bits=n).collect()), key=repr) for n in (1 << 29, 1 << 12))
+        assert len(a) == len(b) and all(x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9) for x, y in zip(a, b))
+
+
+def test_lm_levels_end_in_a_full_filter():
+    m = op3_lm.Model(2, np.full(32, 255, np.uint8), np.full(4, 8), None, None, 0, 0, [""], [0], [0])
+    assert (m.level(np.arange(9, dtype=np.uint64)) == op3_lm.LEVELS - 1).all()
+
+
 def test_lm_filter_never_counts_too_low():
     rnd = np.random.default_rng(0)
     keys = np.unique(rnd.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))

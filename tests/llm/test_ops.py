@@ -169,6 +169,12 @@ def test_lm_shuffled_filter_agrees(spark, sf, edge_docs):
         assert len(a) == len(b) and all(x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9) for x, y in zip(a, b))
 
 
+def test_lm_joined_scores_agree(spark, sf):
+    df = textops.load(spark, sf, "documents")
+    a, b = ({r["doc_id"]: r["score"] for r in op3_lm.score(df, max_vocab=n).collect()} for n in (8_000_000, 10))
+    assert a.keys() == b.keys() and all(b[i] == pytest.approx(a[i], rel=1e-9) for i in a)
+
+
 def test_lm_levels_end_in_a_full_filter():
     m = op3_lm.Model(2, np.full(32, 255, np.uint8), np.full(4, 8), None, None, 0, 0, [""], [0], [0])
     assert (m.level(np.arange(9, dtype=np.uint64)) == op3_lm.LEVELS - 1).all()

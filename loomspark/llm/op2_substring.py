@@ -8,8 +8,9 @@ first (smallest identifier, then position).
 
 A passage can also stand inside longer paragraphs that differ. For these the same words are winnowed (Schleimer et al.,
 2003): of every `WINNOW` successive runs of `RUN` words the one with the smallest hash is kept, so that any shared stretch of
-RUN + WINNOW - 1 = 47 words shares a kept run. Runs that stand in several documents are kept in the first and removed from
-the others.
+RUN + WINNOW - 1 = 47 words shares a kept run. Picks of a shared stretch are at most WINNOW apart, so together they cover it
+up to WINNOW - 1 words at each end; runs that stand in several documents are therefore extended by the words around them as
+far as another document has the same. A word stays in the first document that has its stretch and is removed from the others.
 
 Copies of a paragraph leave a task once, whatever their number. Paragraphs are first compared with one pivot of each key;
 only where a key still has several components are its members compared with each other, in blocks of bounded size whose
@@ -170,6 +171,79 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), b.column("doc_id").take(own), b.column("th").take(own), pa.array(at[i] - w.first[own.to_numpy()])], ["h", "doc_id", "th", "start"])
 
 
+def _around(batches):
+    """Hashes of up to WINNOW - 1 words before (nearest first) and after each run in column `at`."""
+    reach = WINNOW - 1
+    for b in chunks(batches):
+        w = words_of(b.column("text"))
+        h = (w.hashes() >> _U(32)).astype(np.uint32)
+        at = b.column("at")
+        runs, own = at.flatten(), np.repeat(np.arange(len(b)), pa.compute.list_value_length(at).to_numpy())
+        starts = runs.field("start").to_numpy() + w.first[own]
+        low, high = np.maximum(w.first[own], starts - reach), np.minimum(w.first[own + 1], starts + RUN + reach)
+        before = [h[x:y][::-1].tobytes() for x, y in zip(low.tolist(), starts.tolist(), strict=True)]
+        after = [h[x:y].tobytes() for x, y in zip((starts + RUN).tolist(), high.tolist(), strict=True)]
+        take = pa.array(own)
+        yield pa.RecordBatch.from_arrays([runs.field("h"), b.column("doc_id").take(take), b.column("th").take(take), runs.field("start"), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["h", "doc_id", "th", "start", "before", "after"])
+
+
+def _steps(t: pa.Table) -> pa.Table:
+    """For words around a run (h, side, words) with the first and last document that have them: each number of words that another document shares, and the first document that does (the longest for each such document)."""
+    n, reach = len(t), WINNOW - 1
+    ids = pa.chunked_array([*t.column("lo_id").chunks, *t.column("hi_id").chunks], t.schema.field("lo_id").type).combine_chunks()
+    ths = pa.chunked_array([*t.column("lo_th").chunks, *t.column("hi_th").chunks], pa.int64()).combine_chunks()
+    docs = pa.table([ids, ths], names=["id", "th"])
+    order = pa.compute.sort_indices(docs, sort_keys=[("id", "ascending"), ("th", "ascending")], null_placement="at_end")
+    docs = docs.take(order)
+    a, b = docs.slice(1), docs.slice(0, max(0, 2 * n - 1))
+    alike = pa.compute.and_(pa.compute.equal(a["th"], b["th"]), pa.compute.or_(pa.compute.fill_null(pa.compute.equal(a["id"], b["id"]), False), pa.compute.and_(pa.compute.is_null(a["id"]), pa.compute.is_null(b["id"]))))
+    new = np.append(True, ~alike.to_numpy().astype(bool))
+    rank = np.empty(2 * n, np.int64)
+    rank[order.to_numpy()] = np.cumsum(new) - 1
+    lo, hi, place = rank[:n], rank[n:], np.flatnonzero(new)
+    raw = t.column("words").to_pylist()
+    length = np.array([len(x) // 4 for x in raw])
+    words = np.frombuffer(b"".join(x.ljust(4 * reach, b"\0") for x in raw), np.uint32).reshape(n, reach)
+    cls = np.unique(mix(t.column("h").to_numpy().view(_U) + t.column("side").to_numpy().astype(_U)), return_inverse=True)[1].astype(_U)
+    held, alive = np.full((n, reach + 1), -1, np.int64), np.arange(n)
+    for k in range(reach):
+        alive = alive[length[alive] > k]
+        part = np.unique((cls[alive] << _U(32)) | words[alive, k], return_inverse=True)[1]
+        least, most = np.full(len(alive), np.iinfo(np.int64).max), np.full(len(alive), -1)
+        np.minimum.at(least, part, lo[alive])
+        np.maximum.at(most, part, hi[alive])
+        both = least[part] < most[part]
+        alive, part = alive[both], part[both]
+        if not len(alive):
+            break
+        cls[alive] = part.astype(_U)
+        held[alive, k] = least[part]
+    row, k = np.nonzero((held[:, :-1] >= 0) & (held[:, :-1] != held[:, 1:]))
+    first = docs.take(pa.array(place[held[row, k]]))
+    steps = pa.StructArray.from_arrays([pa.array(k + 1, pa.int64()), *(c.combine_chunks() for c in first.columns)], ["n", "doc_id", "th"])
+    some = np.unique(row)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(row, some), len(row)), pa.int32()), steps)
+    kept = t.select(["h", "side", "words"]).take(pa.array(some))
+    return pa.table([*kept.columns, lists], names=["h", "side", "words", "steps"])
+
+
+def _extended(docs: DataFrame, hits: DataFrame, together: int = 50_000) -> DataFrame:
+    """hits (h, doc_id, th, start, best, size) with `left` and `right`: the steps of _steps before and after each run."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    at = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start")).alias("at")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "at")
+    texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "at")
+    around = cut(texts.mapInArrow(_around, f"h bigint, doc_id {kind}, th bigint, start bigint, before binary, after binary"), "around")
+    first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("th"))
+    sides = [around.select("h", F.lit(i).alias("side"), F.col(c).alias("words"), first.alias("first")).filter(F.length("words") > 0) for i, c in enumerate(("before", "after"))]
+    each = cut(sides[0].unionByName(sides[1]).groupBy("h", "side", "words").agg(F.min("first").alias("lo"), F.max("first").alias("hi")), "sides")
+    # Words that share a first word come to one group; others share nothing.
+    each = each.select("h", "side", "words", F.col("lo.doc_id").alias("lo_id"), F.col("lo.th").alias("lo_th"), F.col("hi.doc_id").alias("hi_id"), F.col("hi.th").alias("hi_th"))
+    dealt = each.withColumn("g", F.pmod(F.xxhash64("h", "side", F.expr("substring(words, 1, 4)")), F.lit(max(1, each.count() // together))))
+    steps = cut(dealt.groupBy("g").applyInArrow(_steps, f"h bigint, side int, words binary, steps array<struct<n:bigint,doc_id:{kind},th:bigint>>"), "steps")
+    side = lambda i, c, name: steps.filter(F.col("side") == i).select("h", F.col("words").alias(c), F.col("steps").alias(name))
+    return around.join(side(0, "before", "left"), ["h", "before"], "left").join(side(1, "after", "right"), ["h", "after"], "left").drop("before", "after")
+
+
 def _stars(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the ids of a key and its pivot."""
     pairs = shared.filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
@@ -282,7 +356,22 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = cut(docs.mapInArrow(_runs, f"h bigint, doc_id {kind}, th bigint, start bigint"), "runs")
     first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("th"))
     many = runs.groupBy("h").agg(F.min(first).alias("best"), F.max(first).alias("most"), F.count("*").alias("size")).filter("best <> most")
-    spans = runs.join(many, "h").select("doc_id", "th", F.lit("run").alias("kind"), "start", F.lit(RUN).cast("long").alias("n"), F.col("h").alias("class"), F.col("best.doc_id").alias("keep_id"), (F.col("size") - 1).alias("links"), (first != F.col("best")).alias("removed"))
+    hits = runs.join(many, "h")
+    found = _extended(docs, hits).join(many.select("h", "best", "size"), "h")
+    none = F.array().cast(found.schema["left"].dataType)
+    key = lambda x: F.struct(x["doc_id"].isNull().alias("null"), x["doc_id"].alias("doc_id"), x["th"].alias("th"))
+    zero = F.lit(0).cast("long")
+    longest = lambda c: F.coalesce(F.array_max(F.transform(F.coalesce(c, none), lambda x: x["n"])), zero)
+    # The longest stretch that an earlier document has, and that document.
+    earlier = lambda c: F.array_max(F.filter(F.coalesce(c, none), lambda x: key(x) < F.col("first")))
+    found = found.withColumn("first", first).select("*", longest("left").alias("l"), longest("right").alias("r"), earlier("left").alias("el"), earlier("right").alias("er"))
+    gone = F.col("first") != F.col("best")
+    span = lambda l, r, keep, removed: F.struct((F.col("start") - l).alias("start"), (l + r + F.lit(RUN)).cast("long").alias("n"), keep.alias("keep_id"), removed.alias("removed"))
+    all_spans = F.array(
+        span(F.col("l"), F.col("r"), F.col("best.doc_id"), F.lit(False)), span(zero, zero, F.col("best.doc_id"), gone),
+        F.when(F.col("el").isNotNull(), span(F.col("el.n"), zero, F.col("el.doc_id"), F.lit(True))), F.when(F.col("er").isNotNull(), span(zero, F.col("er.n"), F.col("er.doc_id"), F.lit(True))),
+    )
+    spans = found.select("doc_id", "th", "h", "size", F.explode(F.array_compact(all_spans)).alias("s")).select("doc_id", "th", F.lit("run").alias("kind"), "s.start", "s.n", F.col("h").alias("class"), "s.keep_id", (F.col("size") - 1).alias("links"), "s.removed")
     return pars.unionByName(spans)
 
 

@@ -129,6 +129,18 @@ def test_substring_inside_other_paragraphs(spark):
     assert all(24 <= got[i]["n_removed"] <= 51 and got[i]["keep_ids"] == [0] for i in range(1, 5))
 
 
+def test_substring_marks_whole_passages(spark):
+    """A passage of 60 words in all, of which two later documents share 8 more words at each end; and one of 80."""
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage, left, right, other = some(60), some(8), some(8), some(80)
+    texts = [f"{some(70)} {passage} {some(90)}", f"{some(50)} {left} {passage} {right} {some(75)}", f"{some(81)} {left} {passage} {right} {some(64)}", f"{some(40)} {other}", f"{other} {some(33)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_repeated"], r["n_removed"], r["keep_ids"]) for r in op2_substring.substring_dedup(df).collect()}
+    assert got == {0: (60, 0, []), 1: (76, 60, [0]), 2: (76, 76, got[2][2]), 3: (80, 0, []), 4: (80, 80, [3])} and 1 in got[2][2]
+
+
 def test_substring_edges(edge_docs, no_docs):
     assert op2_substring.substring_dedup(edge_docs).count() == edge_docs.count()
     assert op2_substring.substring_dedup(no_docs).count() == 0

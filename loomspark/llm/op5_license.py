@@ -7,6 +7,9 @@ ends are taken first. Coverage is the share of the template's words that are ali
 Which regions are tried follows from the threshold, so that none is missed: a template that is covered to at least
 `coverage` leaves out at most (1 - coverage) of its words, so a text that holds none of a larger set of its words (the
 template's triggers, the words least usual in prose) can't reach it. Regions are the stretches around triggers.
+
+One-line templates differ in a word or two. In those of fewer than `SHORT` words every name, variant or version word must be
+aligned, and the aligned stretch of the text may hold no other such word.
 """
 
 from __future__ import annotations
@@ -29,6 +32,22 @@ TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "gpl-2.0-line": "Licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-line": "GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-line": "GNU Lesser General Public License, version 3.",
+    "agpl-3.0-line": "GNU Affero General Public License, version 3.",
+    "mpl-2.0-line": "Mozilla Public License, version 2.0.",
+    "bsd-notice": "Released under the BSD License.",
+    "isc-notice": "Released under the ISC License.",
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
     "all-rights-reserved": "All rights reserved.",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -52,6 +71,9 @@ TEMPLATES = {
         "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
 }
+#: Templates of fewer words need their names, variants and versions; other ones of these (but "by") within the stretch refute them.
+SHORT = 20
+_TELLING = set("mit apache bsd isc mozilla gnu lesser library affero cc by nc nd sa".split())
 #: Words too usual to be triggers.
 _USUAL = set("a an the of and or in on to is it be by as at for with this that are was any all not you no but may must from under use above".split())
 
@@ -105,10 +127,18 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def telling(word: str) -> bool:
+    return word in _TELLING or word.isdigit()
+
+
 class Template:
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words, self.coverage = name, words(text), coverage
         self.most_missing = int(len(self.words) * (1 - coverage) + 1e-9)
+        self.telling = {i for i, w in enumerate(self.words) if telling(w) and w != "gnu"} if len(self.words) < SHORT else None
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(i)
         count = Counter(self.words)
         self.triggers: set[str] = set()
         held = 0
@@ -118,6 +148,13 @@ class Template:
             self.triggers.add(w)
             held += count[w]
 
+    def fits(self, pairs: list[tuple[int, int]], text: list[str]) -> bool:
+        """Whether a short template's telling words, and no others, stand in the aligned stretch. The General Public License is known without "gnu"."""
+        if self.telling is None:
+            return True
+        here = {y for _, y in pairs}
+        return self.telling <= {x for x, _ in pairs} and not any(text[y] != "by" and telling(text[y]) and y not in here for y in range(pairs[0][1], pairs[-1][1] + 1))
+
     def best(self, text: list[str], hits: list[int]) -> tuple[float, int, int] | None:
         """coverage, first and last + 1 word of the best region around the triggers' places, if it reaches the threshold."""
         n = len(self.words)
@@ -134,9 +171,11 @@ class Template:
             region = text[a:b]
             # Repeated notices in a region hide unique words: windows that begin at each place of a trigger are tried too.
             spans = [(0, len(region))] + [(max(0, h - a - n), min(len(region), h - a + n)) for h in hits if a <= h < b]
+            if self.telling is not None:  # the words of neighbouring notices of one kind are told apart by place
+                spans += [(max(0, h - a - k), min(len(region), h - a - k + n)) for h in hits if a <= h < b for k in self.places[text[h]]]
             for s, e in spans:
                 pairs = align(self.words, region[s:e])
-                if len(pairs) >= self.coverage * n and (found is None or len(pairs) / n > found[0]):
+                if len(pairs) >= self.coverage * n and self.fits(pairs, region[s:e]) and (found is None or len(pairs) / n > found[0]):
                     found = len(pairs) / n, a + s + pairs[0][1], a + s + pairs[-1][1] + 1
                     if found[0] == 1:
                         return found

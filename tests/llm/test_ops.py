@@ -342,6 +342,18 @@ def test_license_regions_miss_nothing():
     assert op5_license.scan("nothing of the kind", made, triggers) == []
 
 
+def test_license_variants_are_told_apart(spark):
+    lines = {
+        "Licensed under CC BY 4.0.": ["cc-by-4.0-line"], "Licensed under CC BY-SA 4.0.": ["cc-by-sa-4.0-line"], "Licensed under CC BY-NC 4.0.": ["cc-by-nc-4.0-line"], "Licensed under CC BY-NC-SA 4.0.": ["cc-by-nc-sa-4.0-line"],
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": ["cc-by-4.0-line", "cc-by-nc-4.0-line"], "Licensed under CC BY-NC 3.0.": [], "Released under the MIT License.": ["mit-notice"], "Released under the BSD License.": ["bsd-notice"],
+        "This work is licensed under the GNU General Public License, version 3.": ["gpl-3.0-line"], "This work is licensed under the GNU General Public License, version 2.": ["gpl-2.0-line"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["lgpl-3.0-line"], "Licensed under the Apache License, Version 2.0.": ["apache-2.0-line"],
+    }
+    df = spark.createDataFrame([(i, "some words before " + t + " and some after") for i, t in enumerate(lines)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licenses"] for r in op5_license.license_scan(df).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
 def test_license_edges(edge_docs, no_docs):
     assert op5_license.license_scan(edge_docs).count() == edge_docs.count() and op5_license.license_scan(no_docs).count() == 0
 

@@ -1,12 +1,13 @@
 """Exact dedup by content sort.
 
-Normalised texts are range-partitioned at sampled splitters (first bytes, then digest) and sorted outside memory, which
-places equal texts next to each other; Spark's window operator then compares neighbours in full and the smallest identifier of a run stays.
+Normalised texts are written once, range-partitioned at sampled splitters (first characters, then digest) and sorted outside
+memory by these and the whole text, which places equal texts next to each other; Spark's window operator then compares
+neighbours in full and the smallest identifier of a run stays. The digest only breaks ties of the order.
 
-A content with many copies would fill one range. Such contents are found first from their digests alone (an aggregate that
-combines before its shuffle) and their copies get a salt, so that a run stays small; the runs of one hot content are
-stitched through its digest. At most `max_hot` contents can be hot, since each holds over 1/max_hot of the rows: that bounds
-what is broadcast.
+A content with many copies would fill one range. Such contents are found first (digests with many rows, then their rows
+grouped by whole content, which combines before its shuffle) and their copies get a salt, so that a run stays small; a row
+belongs to a hot content if its whole text equals it. Each hot content has over 1/max_hot of the rows, so there are at most
+`max_hot` and all their texts together have at most max_hot times the mean length: that bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textops import cut
+
 #: A run of [\x20\x09-\x0D] that isn't already a single space; replacing only these equals replacing every run.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -31,13 +34,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = F.regexp_replace(text, RUN, " ")
     base = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.when(~text.eqNullSafe(norm) | F.col(text_col).isNull(), F.struct(F.col(text_col).alias("t"))).alias("_raw")).alias("_row")] if payload else []))
     base = base.withColumn("_sha", F.coalesce(F.sha2("_norm", 256), F.lit("")))  # never null: spares a filter that would hash again
-    n = docs.count()
-    least = max(min_hot, n // max_hot)
-    hot = base.groupBy(F.col("_sha").alias("_hot_sha")).agg(F.count("*").alias("_n"), F.min("_id").alias("_least")).filter(F.col("_n") > least)
-    salted = base.join(F.broadcast(hot), F.col("_sha") == F.col("_hot_sha"), "left").withColumn(
+    base = cut(base, "normalised")
+    least = max(min_hot, base.count() // max_hot)
+    often = base.groupBy("_sha").agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select("_sha")
+    whole = base.join(F.broadcast(often), "_sha", "left_semi").groupBy("_sha", "_norm").agg(F.count("*").alias("_n"), F.min("_id").alias("_least")).filter(F.col("_n") > least)
+    hot = cut(whole.select(F.col("_sha").alias("_hot_sha"), F.col("_norm").alias("_hot_norm"), "_n", "_least"), "hot")
+    salted = base.join(F.broadcast(hot), (F.col("_sha") == F.col("_hot_sha")) & (F.col("_norm") == F.col("_hot_norm")), "left").drop("_hot_sha", "_hot_norm").withColumn(
         "_salt", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / F.lit(least))).cast("int"))
     )
-    # Splitters are sampled from the texts' first bytes and, where those are shared, their digests: the driver gets short keys.
+    # Splitters are sampled from the texts' first characters and, where those are shared, their digests: the driver gets short keys.
     ranged = salted.withColumn("_head_bytes", F.substring("_norm", 1, HEAD)).repartitionByRange("_head_bytes", "_sha", "_salt")
     run = Window.partitionBy("_head_bytes", "_sha", "_salt", "_norm").orderBy(F.col("_id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -1,8 +1,11 @@
 """Token counts with a digest cache.
 
 A cache table holds (digest of the content, digest of the tokenizer version, count). Contents are their own normal form
-(null is empty): any other would change counts. Documents whose pair isn't stored are reduced to one row per digest before
-any text moves, the texts of those rows are encoded, and their counts are appended to the cache.
+(null is empty): any other would change counts. Digests whose pair isn't stored are reduced, on narrow rows, to one document
+each; the texts of these documents alone are encoded, and their counts are appended to the cache.
+
+Up to `most_broadcast` such documents are named to the tasks by a broadcast, and texts are encoded where they are read; more
+are named by a join, which moves texts, each once.
 """
 
 from __future__ import annotations
@@ -103,11 +106,13 @@ def _encode(path: str):
     return run
 
 
-def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None, limit: int = 512) -> DataFrame:
+def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None, limit: int = 512, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; one row per input row. The cache at cache_path is read if it exists and gets the misses' counts.
 
-    Null text counts as empty, which has no tokens. Rows that repeat an identifier or text each get their count; null
-    identifiers stay null. An empty table gives no rows and appends none.
+    Null text counts as empty, which has no tokens. Whole texts are encoded, however long. Rows that repeat an identifier or
+    text each get their count; of rows with one digest the one with the smallest identifier is encoded, null if all are; of
+    counts that a cache holds twice the largest is used, and they are equal. Null identifiers stay null; other columns aren't
+    read. An empty table gives no rows and appends none.
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path()
@@ -116,12 +121,14 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str | None = None,
     keyed = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("digest"))
     rows = cut(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     stored = _stored(spark, cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
-    # One document stands for each missing digest; the join is on identifier and digest, so that copies are dropped without gathering them.
-    named = keyed.join(misses.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    misses = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti").select(F.col("doc_id").alias("_id"), F.unhex("digest").alias("_digest")), "misses")
+    few = misses.count() <= most_broadcast
+    # The join is on identifier and digest, so that copies are dropped without gathering them.
+    named = keyed.join(F.broadcast(misses) if few else misses, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex("digest") == F.col("_digest")), "left_semi")
     fresh = named.select("digest", "text").mapInArrow(_encode(path), "digest string, n_tokens bigint")
     fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = _stored(spark, cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written out, so that the join below can split a digest that many rows have.
+    counts = cut(_stored(spark, cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines, token_count
 
 
+#: Counts the tokens of a text column; the estimate by default, a tokenizer's pandas UDF can be given.
+Counter = Callable[[Column], Column]
+
+
 def prefix_fit(ranked: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: Column, header: int = 0) -> DataFrame:
     """The leading rows of each set whose running cost and header stay within the budget. Costs are positive."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("used", F.sum(cost).over(w) + F.lit(header)).filter(F.col("used") <= budget)
 
 
-def newest_fit(turns: DataFrame, budget: int, key: str = "conv_id", order: str = "turn", cost: Column | None = None) -> DataFrame:
+def newest_fit(turns: DataFrame, budget: int, key: str = "conv_id", order: str = "turn", counter: Counter = token_count) -> DataFrame:
     """The newest turns of each conversation within the budget; the newest stays even if it alone is over."""
-    cost = token_count(F.concat_ws(": ", "role", "text")) if cost is None else cost
+    cost = counter(F.concat_ws(": ", "role", "text"))
     w = Window.partitionBy(key).orderBy(F.desc(order))
     used = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return turns.withColumn("used", used).withColumn("age", F.row_number().over(w)).filter((F.col("age") == 1) | (F.col("used") <= budget))
@@ -27,14 +33,14 @@ def last_k(turns: DataFrame, k: int = 4, key: str = "conv_id", order: str = "tur
     return turns.withColumn("older", (F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) > k) & F.lit(k > 0))
 
 
-def clip_head(texts: DataFrame, text: str, budget: int, marker: str = "… (clipped)") -> DataFrame:
+def clip_head(texts: DataFrame, text: str, budget: int, marker: str = "… (clipped)", counter: Counter = token_count) -> DataFrame:
     """Adds `clipped`: the text if it fits, else its leading lines that do and a marker line. Works within a row."""
     lines = split_lines(F.col(text))
-    step = lambda a, x: F.struct((a["used"] + token_count(x)).alias("used"), (a["n"] + F.when(a["used"] + token_count(x) <= budget, 1).otherwise(0)).alias("n"))
+    step = lambda a, x: F.struct((a["used"] + counter(x)).alias("used"), (a["n"] + F.when(a["used"] + counter(x) <= budget, 1).otherwise(0)).alias("n"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"))
     n = F.aggregate(lines, zero, step, lambda a: a["n"])
     head = F.array_join(F.slice(lines, F.lit(1), n), "\n")
-    return texts.withColumn("clipped", F.when((F.length(text) == 0) | (token_count(F.col(text)) <= budget), F.col(text)).otherwise(F.concat(head, F.lit("\n" + marker))))
+    return texts.withColumn("clipped", F.when((F.length(text) == 0) | (counter(F.col(text)) <= budget), F.col(text)).otherwise(F.concat(head, F.lit("\n" + marker))))
 
 
 def greedy_fit(items: DataFrame, budget: Column, key: str = "set_id", idx: str = "item_idx") -> DataFrame:

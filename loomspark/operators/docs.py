@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import exists
 from ..sources.files import TEXTLIKE, suffix
 
 
@@ -17,6 +18,27 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
+CACHE = "digest string, markdown string"
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """The stored conversions; none if there are none yet."""
+    return spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
+
+
+def convert_stored(documents: DataFrame, cache_path: str) -> DataFrame:
+    """convert() with the cache in a folder, to which new conversions are appended."""
+    spark = documents.sparkSession
+    out, fresh = convert(documents, cached(spark, cache_path))
+    fresh.write.mode("append").parquet(cache_path)
+    known = cached(spark, cache_path)
+    return out.select("path", "digest").join(known, "digest", "left").select("path", "digest", F.coalesce("markdown", stub(F.col("path"))).alias("markdown"))
+
+
+def stub(path: Column) -> Column:
+    return F.concat(F.lit("<!-- can't be converted: "), path, F.lit(" -->"))
+
+
 def convert(documents: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """documents (path, content binary) and cache (digest, markdown) give (path, digest, markdown) and new cache rows. Failures aren't cached."""
     hashed = documents.select("path", "content", F.sha2("content", 256).alias("digest"))
@@ -25,5 +47,4 @@ def convert(documents: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     text = F.decode("content", "UTF-8")
     fresh = misses.select("digest", F.when(kind.isin(*TEXTLIKE), text).when(kind.isin(".html", ".htm"), html_text(text)).alias("markdown")).filter("markdown IS NOT NULL")
     known = cache.select("digest", "markdown").unionByName(fresh)
-    stub = F.concat(F.lit("<!-- no converter for "), "path", F.lit(" -->"))
-    return hashed.select("path", "digest").join(known, "digest", "left").select("path", "digest", F.coalesce("markdown", stub).alias("markdown")), fresh
+    return hashed.select("path", "digest").join(known, "digest", "left").select("path", "digest", F.coalesce("markdown", stub(F.col("path"))).alias("markdown")), fresh

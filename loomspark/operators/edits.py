@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from itertools import accumulate
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,30 +23,64 @@ def parse_blocks(texts: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.select(key, "hunk_idx", F.trim(F.regexp_replace("h.path", r"^\s+|\s+$", "")).alias("path"), "h.search", "h.replace")
 
 
+def _bound(a: Counter, b: Counter) -> float:
+    """No similarity of two strings with these characters is greater."""
+    size = a.total() + b.total()
+    return 2 * (a & b).total() / size if size else 1.0
+
+
 def locate(text: str, anchor: str, threshold: float = THRESHOLD) -> tuple[int, int, float] | None:
-    """start, end, ratio of the place that matches the anchor best, or None below the threshold.
+    """start, end, similarity of the place most like the anchor, the first of equals, or None below the threshold.
 
-    Windows whose best possible ratio (from their length) can't beat the best so far aren't compared.
+    A verbatim place is best. Otherwise stretches of as many lines as the anchor has are compared, all lines stripped, in the
+    order of the most that their characters allow; once that is less than the best similarity, no other can win.
     """
-    if (i := text.find(anchor)) >= 0:
-        return i, i + len(anchor), 1.0
-    lines = text.splitlines(keepends=True)
-    wanted = "\n".join(x.strip() for x in anchor.splitlines())
-    n = len(anchor.splitlines())
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x))
-    matcher = difflib.SequenceMatcher(None, "", wanted)
-    best = None
-    for k in range(max(1, len(lines) - n + 1)):
-        window = "\n".join(x.strip() for x in "".join(lines[k : k + n]).splitlines())
-        matcher.set_seq1(window)
-        least = best[2] if best else -1.0
-        if matcher.real_quick_ratio() <= least or matcher.quick_ratio() <= least:
-            continue
-        if (ratio := matcher.ratio()) > least:
-            best = starts[k], starts[min(k + n, len(lines))], ratio
-    return best if best and best[2] >= threshold else None
+    verbatim = text.find(anchor)
+    if verbatim >= 0:
+        return verbatim, verbatim + len(anchor), 1.0
+    wanted = [x.strip() for x in anchor.splitlines()]
+    rows = text.splitlines(keepends=True)
+    ends = list(accumulate(map(len, rows)))
+    bare = [x.strip() for x in rows]
+    goal = "\n".join(wanted)
+    letters = Counter(goal)
+    stretches = [(first, "\n".join(bare[first : first + len(wanted)])) for first in range(max(1, len(rows) - len(wanted) + 1))]
+    hopes = sorted(((_bound(Counter(s), letters), -first, s) for first, s in stretches), reverse=True)
+    best = (-1.0, 0)
+    compare = difflib.SequenceMatcher(None, "", goal)
+    for hope, minus_first, stretch in hopes:
+        if hope < max(best[0], threshold):
+            break
+        compare.set_seq1(stretch)
+        best = max(best, (compare.ratio(), minus_first))
+    if best[0] < threshold:
+        return None
+    first = -best[1]
+    after = min(first + len(wanted), len(rows))
+    return (ends[first - 1] if first else 0), (ends[after - 1] if after else 0), best[0]
+
+
+def _outside(path: str) -> bool:
+    return path.startswith("/") or ".." in path.split("/")
+
+
+def _change(text: str | None, hunk, keep_newline: bool, threshold: float) -> tuple[str, float, str | None]:
+    """What becomes of a file's text: state, similarity, and the new text if the hunk fits."""
+    if _outside(hunk.path):
+        return "outside", 0.0, None
+    if text is None:
+        return ("missing", 0.0, None) if hunk.search.strip() else ("created", 1.0, hunk.replace)
+    place = locate(text, hunk.search, threshold)
+    if place is None:
+        return "unmatched", 0.0, None
+    start, end, ratio = place
+    tail = text[end:]
+    if keep_newline and ratio < 1 and text[start:end].endswith("\n") and not hunk.replace.endswith("\n"):
+        tail = "\n" + tail
+    return "replaced", ratio, text[:start] + hunk.replace + tail
+
+
+DETAILS = {"outside": "path is outside of the project", "missing": "there is no such file", "created": "file is new", "unmatched": "no place is similar enough", "replaced": "similarity {0:.2f}"}
 
 
 def _fold(keep_newline: bool, dry_run: bool, threshold: float):
@@ -52,24 +89,11 @@ def _fold(keep_newline: bool, dry_run: bool, threshold: float):
 
         text = files["text"].iloc[0] if len(files) else None
         out = []
-        for h in hunks.sort_values(["doc_id", "hunk_idx"], kind="stable").itertuples():
-            bad = h.path.startswith("/") or ".." in h.path.split("/")
-            new = None
-            if bad:
-                ok, detail, ratio = False, "path leaves the project", 0.0
-            elif text is None and not h.search.strip():
-                ok, detail, ratio, new = True, "created new file", 1.0, h.replace
-            elif text is None:
-                ok, detail, ratio = False, "file not found", 0.0
-            elif (found := locate(text, h.search, threshold)) is None:
-                ok, detail, ratio = False, "anchor not found (widen SEARCH or re-ask)", 0.0
-            else:
-                a, b, ratio = found
-                glue = "\n" if keep_newline and ratio < 1 and text[a:b].endswith("\n") and not h.replace.endswith("\n") else ""
-                ok, detail, new = True, f"{'would apply' if dry_run else 'applied'} (anchor match {ratio:.0%})", text[:a] + h.replace + glue + text[b:]
-            out.append((h.doc_id, h.hunk_idx, h.path, ok, detail, float(ratio), new))
-            if new is not None and not dry_run:
-                text = new
+        for hunk in hunks.sort_values(["doc_id", "hunk_idx"], kind="stable").itertuples():
+            state, ratio, new = _change(text, hunk, keep_newline, threshold)
+            detail = ("trial: " if dry_run and new is not None else "") + DETAILS[state].format(ratio)
+            out.append((hunk.doc_id, hunk.hunk_idx, hunk.path, new is not None, detail, float(ratio), new))
+            text = new if new is not None and not dry_run else text
         return pd.DataFrame(out, columns=["doc_id", "hunk_idx", "path", "ok", "detail", "ratio", "new_text"])
 
     return run
@@ -93,14 +117,27 @@ def outcomes(texts: DataFrame, results: DataFrame, key: str = "doc_id") -> DataF
 
 
 def final_texts(results: DataFrame) -> DataFrame:
-    """path, new_text after the last hunk that applied; writing is left to a sink."""
+    """path, new_text after the last hunk that applied; write_files() is its sink."""
     return results.filter("new_text IS NOT NULL").groupBy("path").agg(F.max_by("new_text", F.struct("doc_id", "hunk_idx")).alias("new_text"))
 
 
+def write_files(finals: DataFrame, root: str) -> list[str]:
+    """Writes final texts below root, file after file as they come to the driver; folders are made. Paths that leave it are passed over."""
+    done = []
+    for r in finals.orderBy("path").toLocalIterator():
+        if not _outside(r["path"]):
+            target = Path(root) / r["path"]
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_text(r["new_text"], encoding="utf-8")
+            done.append(r["path"])
+    return done
+
+
 def make_block(path: str, search: str, replace: str) -> str:
     marks = {k: k * 7 for k in "<=>"}
     return f"{path}\n{marks['<']} SEARCH\n{search}\n{marks['=']}\n{replace}\n{marks['>']} REPLACE"
 
 
 def instructions() -> str:
-    return "Answer with SEARCH/REPLACE blocks only, never whole files:\n" + make_block("path/to/file.ext", "exact lines to find", "lines to put there") + "\nKeep SEARCH short but unique; leave it empty for a new file."
+    """What a model is told about the form of edits."""
+    return "Write changes as edit blocks, one for each place:\n" + make_block("folder/name.py", "lines as they are now", "lines as they should be") + "\nAn empty upper half makes a new file."

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
+from ..scratch import cut, forget
 from .budget import prefix_fit
 
 DAMPING, ROUNDS = 0.85, 40
@@ -36,20 +35,21 @@ def seed_weights(symbols: DataFrame, focus_files=(), mentioned=(), recent_files=
 def pagerank(nodes: DataFrame, adjacency: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """node, score. Teleport follows the seeds' shares, else it is uniform; mass of nodes without edges goes where teleport goes.
 
-    A graph of at most one_task_edges edges is one task's arrays; a larger one is iterated by joins, written out each round.
+    Edges count if both their ends are listed. A graph of at most one_task_edges edges is one task's arrays; a larger one is
+    iterated by joins, written out each round. An empty graph gives no rows.
     """
+    end = lambda c: nodes.select(F.col("node").alias(c))
+    edges = cut(adjacency.select("src", "dst").join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst"), "edges")
     n = nodes.count()
-    if seeds is not None and not seeds.limit(1).count():
-        seeds = None
     teleport = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("t"))
     if seeds is not None:
         known = seeds.join(nodes, "node", "left_semi")
         total = known.agg(F.sum("weight")).first()[0]
         if total:
             teleport = nodes.join(known, "node", "left").select("node", (F.coalesce("weight", F.lit(0.0)) / total).alias("t"))
-    if n + adjacency.count() <= one_task_edges:
-        return _in_one_task(teleport, adjacency, damping, rounds)
-    return _by_joins(teleport, adjacency, damping, rounds, n)
+    if n + edges.count() <= one_task_edges:
+        return _in_one_task(teleport, edges, damping, rounds)
+    return _by_joins(teleport, edges, damping, rounds, n)
 
 
 def _in_one_task(teleport: DataFrame, adjacency: DataFrame, damping: float, rounds: int) -> DataFrame:
@@ -73,24 +73,19 @@ def _in_one_task(teleport: DataFrame, adjacency: DataFrame, damping: float, roun
     return one(teleport).cogroup(one(adjacency.select("src", "dst"))).applyInPandas(run, f"node {kind}, score double")
 
 
-def _by_joins(teleport: DataFrame, adjacency: DataFrame, damping: float, rounds: int, n: int) -> DataFrame:
-    spark = teleport.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    folder = f"{base}/pagerank-{uuid.uuid4().hex}"
-    degree = adjacency.groupBy("src").agg(F.count("*").alias("d"))
-    fixed = teleport.join(degree, teleport.node == degree.src, "left").select("node", "t", F.coalesce("d", F.lit(0)).alias("d"))
-    fixed.write.parquet(f"{folder}/fixed")
-    adjacency.write.parquet(f"{folder}/edges")
-    fixed, edges = spark.read.parquet(f"{folder}/fixed"), spark.read.parquet(f"{folder}/edges")
-    rank = fixed.select("node", F.lit(1.0 / max(1, n)).alias("score"))
-    for i in range(rounds):
+def _by_joins(teleport: DataFrame, edges: DataFrame, damping: float, rounds: int, n: int) -> DataFrame:
+    degree = edges.groupBy("src").agg(F.count("*").alias("d"))
+    fixed = cut(teleport.join(degree, teleport.node == degree.src, "left").select("node", "t", F.coalesce("d", F.lit(0)).alias("d")), "fixed")
+    rank, written = fixed.select("node", F.lit(1.0 / max(1, n)).alias("score")), None
+    for _ in range(rounds):
         now = rank.join(fixed, "node")
         dangling = now.agg(F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("score"))), F.lit(0.0))).first()[0]
         share = now.filter("d > 0").select(F.col("node").alias("src"), (F.col("score") / F.col("d")).alias("share"))
         got = edges.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        rank = fixed.join(got, "node", "left").select("node", ((1 - damping) * F.col("t") + damping * (dangling * F.col("t") + F.coalesce("got", F.lit(0.0)))).alias("score"))
-        rank.write.parquet(f"{folder}/{i}")
-        rank = spark.read.parquet(f"{folder}/{i}")
+        rank = cut(fixed.join(got, "node", "left").select("node", ((1 - damping) * F.col("t") + damping * (dangling * F.col("t") + F.coalesce("got", F.lit(0.0)))).alias("score")), "rank")
+        if written is not None:
+            forget(written)
+        written = rank
     return rank
 
 
@@ -109,30 +104,29 @@ def rank_symbols(symbols: DataFrame, edges: DataFrame, focus_files=(), mentioned
     return representatives(symbols, prefer).join(scores.withColumnRenamed("node", "name"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-HEADER = "# Repo map (graph-ranked signatures)\n"
+HEADER = "# Code by rank"
+#: Fixed value: what a header costs in the budget.
 HEADER_COST = 10
 
 
 def fit_map(ranked: DataFrame, budget: int) -> DataFrame:
-    """The ranked symbols that fit a map of `budget` tokens. Each costs 3 at least, so a top-k bounds what the running sum sees."""
+    """The ranked symbols that fit a map of `budget` tokens, with `used`. Each costs 3 at least, so a top-k bounds what the running sum sees."""
     order = [F.desc("score"), F.col("first")]
     cost = token_count(F.concat(F.lit("  "), F.col("signature"))) + 2
     top = ranked.orderBy(*order).limit(max(0, budget) // 3 + 1).withColumn("map", F.lit(1))
-    return prefix_fit(top, ["map"], order, cost, F.lit(budget), HEADER_COST).drop("map", "used")
+    return prefix_fit(top, ["map"], order, cost, F.lit(budget), HEADER_COST).drop("map")
+
+
+def map_sections(fitted: DataFrame) -> DataFrame:
+    """file and section (its name over its signatures by line) of fitted symbols."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("start_line", "signature"))), lambda x: F.concat(F.lit("  "), x["signature"]))
+    return fitted.groupBy("file").agg(F.concat_ws("\n", F.col("file"), F.array_join(lines, "\n")).alias("section"), F.count("*").alias("n"))
 
 
 def render_map(ranked: DataFrame, budget: int) -> str:
-    """The map as text: signatures by file. Only what fits the budget comes to the driver."""
-    total = ranked.count()
-    if not total:
-        return "(repo map empty — index the project first)"
-    w = Window.partitionBy("file").orderBy("start_line")
-    rows = fit_map(ranked, budget).withColumn("k", F.row_number().over(w)).orderBy("file", "k").collect()
-    out = [HEADER.rstrip()]
-    for r in rows:
-        if r["k"] == 1:
-            out.append(f"\n{r['file']}")
-        out.append(f"  {r['signature']}")
-    if total > len(rows):
-        out.append(f"\n… {total - len(rows)} more symbols (use /openfile or /findcode to pull detail)")
-    return "\n".join(out)
+    """The map as text: sections in order of files. Only what fits the budget comes to the driver."""
+    sections = map_sections(fit_map(ranked, budget)).orderBy("file").collect()
+    hidden = ranked.count() - sum(r["n"] for r in sections)
+    if not sections and not hidden:
+        return "(no symbols)"
+    return "\n\n".join([HEADER, *(r["section"] for r in sections), *([f"({hidden} symbols don't fit)"] if hidden else [])])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import exists
+
 
 def delta(listing: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """path, state of every path in either side (path, hash): parsed, skipped or removed."""
@@ -31,4 +33,12 @@ def write_version(df: DataFrame, table: str, version: int) -> str:
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines; files that stand aren't touched."""
     df.write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log, in order of its files; none if it was never written to."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "value string")
+    return spark.read.text(path)

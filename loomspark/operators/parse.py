@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import indent, is_blank, split_lines, strip
-from ..sources.files import suffix
+from ..sources.files import language, suffix
 
 # The patterns that name a line's kind, as whole-line prefixes with Unicode words.
 PY_CLASS = r"(?U)^(\s*)class\s+(\w+)"
@@ -43,16 +46,44 @@ def lines(files: DataFrame) -> DataFrame:
     return each.withColumn("owner", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(MODULE))).drop("class_indent")
 
 
+def _ends(files: pd.Series) -> pd.Series:
+    """For each file's lines in order (n, depth, null where blank; head): the last line of each head's block. One pass with a stack of open heads, whose depths grow."""
+
+    def one(rows):
+        open_, out = [], []
+        for r in rows:
+            if r["depth"] is not None:
+                while open_ and open_[-1]["depth"] >= r["depth"]:
+                    out.append({"n": open_.pop()["n"], "end_line": r["n"] - 1})
+            if r["head"]:
+                open_.append(r)
+        return out + [{"n": x["n"], "end_line": rows[-1]["n"]} for x in open_]
+
+    return files.map(one)
+
+
 def block_ends(numbered: DataFrame) -> DataFrame:
     """file, n, end_line of Python classes, functions and methods: the line before the first later one, not blank, that is no deeper.
 
-    Within a file, the array of its lines' depths is searched, so no pairs of lines are made.
+    A file's lines come to one task as narrow rows, and are passed once.
     """
-    python = numbered.filter("python")
-    depth = python.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", F.when(is_blank(F.col("line")), F.lit(None)).otherwise(F.col("indent")).alias("d")))).alias("depths"))
-    heads = python.filter(F.col("kind").isin("class", "function", "method")).select("file", "n", "indent").join(depth, "file")
-    later = F.filter("depths", lambda x: (x["n"] > F.col("n")) & (x["d"] <= F.col("indent")))
-    return heads.select("file", "n", F.coalesce(F.get(later, F.lit(0))["n"] - 1, F.element_at("depths", -1)["n"]).alias("end_line"))
+    depth = F.when(~is_blank(F.col("line")), F.col("indent"))
+    row = F.struct("n", depth.alias("depth"), F.coalesce(F.col("kind").isin("class", "function", "method"), F.lit(False)).alias("head"))
+    files = numbered.filter("python").groupBy("file").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count_if(row["head"]).alias("heads")).filter("heads > 0")
+    ends = F.pandas_udf(_ends, "array<struct<n:int,end_line:int>>")
+    return files.select("file", F.explode(ends("rows")).alias("e")).select("file", "e.n", "e.end_line")
+
+
+def parse(files: DataFrame, parsers: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges of files (path, text). parsers: for a language, what makes its files' symbols and edges instead of the patterns."""
+    kinds = language(F.col("path"))
+    plain = files.filter(~kinds.isin(list(parsers)) | kinds.isNull()) if parsers else files
+    numbered = lines(plain)
+    out = symbols(numbered), edges(numbered)
+    for name, parser in (parsers or {}).items():
+        own = parser(files.filter(kinds == name))
+        out = tuple(a.unionByName(b.select(*a.columns)) for a, b in zip(out, own, strict=True))
+    return out
 
 
 def symbols(numbered: DataFrame) -> DataFrame:

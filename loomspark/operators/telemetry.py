@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: List prices in USD for a million tokens (fresh input, cached input, output). A mapping of model names to such triples can be given instead.
@@ -20,14 +20,22 @@ def request_costs(requests: DataFrame, prices: dict | None = None, default: tupl
     joined = requests.join(table, "model", "left")
     p_in, p_cached, p_out = (F.coalesce(c, F.lit(v)) for c, v in zip(("p_in", "p_cached", "p_out"), default, strict=True))
     total = F.col("fresh_in") + F.col("cached_in")
+    made = {"cache_hit_rate", "cost_usd", "naive_usd"}  # a log's rows have some of them
     return joined.select(
-        *requests.columns,
+        *[c for c in requests.columns if c not in made],
         F.when(total > 0, F.col("cached_in") / total).otherwise(0.0).alias("cache_hit_rate"),
         ((F.col("fresh_in") * p_in + F.col("cached_in") * p_cached + F.col("out") * p_out) / 1e6).alias("cost_usd"),
         ((total * p_in + F.col("out") * p_out) / 1e6).alias("naive_usd"),
     )
 
 
+def record(requests: DataFrame, prices: dict | None = None, now: Column | None = None) -> DataFrame:
+    """Log rows of requests (model, fresh_in, cached_in, out, command): with the time, hit rate and cost."""
+    at = (F.unix_micros(F.current_timestamp()) / 1e6 if now is None else now).cast("double")
+    costs = request_costs(requests, prices)
+    return costs.select(at.alias("ts"), "model", "fresh_in", "cached_in", "out", "cache_hit_rate", "cost_usd", F.coalesce("command", F.lit("")).alias("command"))
+
+
 def summary(costs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Requests, tokens, hit rate (a ratio of sums) and costs, over all or for each key."""
     total = F.sum("fresh_in") + F.sum("cached_in")

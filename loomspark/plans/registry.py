@@ -222,8 +222,8 @@ def rank_representative(spark, sf):
 
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 4 AS older FROM conversations),
 o AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS u, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS s FROM x WHERE older GROUP BY conv_id)
-SELECT conv_id, CASE WHEN trim(u, ' ' || chr(10)) = '' THEN '(turn distilled)' ELSE substring(string_split(trim(u, ' ' || chr(10)), chr(10))[1], 1, 160) END AS decision,
-CASE WHEN trim(s, ' ' || chr(10)) = '' THEN '(no rationale captured)' ELSE substring(string_split(trim(s, ' ' || chr(10)), chr(10))[1], 1, 160) END AS rationale FROM o""")
+SELECT conv_id, CASE WHEN trim(u, ' ' || chr(10)) = '' THEN '(nothing asked)' ELSE substring(string_split(trim(u, ' ' || chr(10)), chr(10))[1], 1, 160) END AS decision,
+CASE WHEN trim(s, ' ' || chr(10)) = '' THEN '(nothing answered)' ELSE substring(string_split(trim(s, ' ' || chr(10)), chr(10))[1], 1, 160) END AS rationale FROM o""")
 def distill_conversations(spark, sf):
     return memory.compress(_table(spark, sf, "conversations"))[0].select("conv_id", "decision", "rationale")
 
@@ -285,20 +285,22 @@ def layer_token_totals(spark, sf):
 
 
 def _code(spark, sf):
-    """Python sources written from the part table: a class with a method, a function, a variable and calls for each brand."""
-    part = _table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
-    k = F.col("k").cast("string")
+    """A Python source written from each row of the part table: a class with a method, a function, a variable and calls."""
+    k = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("import os\nlimit_"), k, F.lit(" = 3\n\nclass C"), k, F.lit(":\n    def run(self):\n        return f"), k, F.lit("(1)\n\n    x = f"), k, F.lit("(2)\n\ndef f"), k, F.lit("(a):\n    return len(a)\n"))
-    return part.select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(".py")).alias("path"), body.alias("text"))
+    return _table(spark, sf, "part").select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit("/"), k, F.lit(".py")).alias("path"), body.alias("text"))
 
 
-_CODE = "c AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '.py' AS file, CAST(min(p_partkey) AS VARCHAR) AS k FROM part GROUP BY p_brand)"
+_CODE = "c AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '/' || p_partkey || '.py' AS file, CAST(p_partkey AS VARCHAR) AS k FROM part)"
+_SYMBOLS = f"""{_CODE}, s AS (SELECT file, k, 'limit_' || k AS name, 'variable' AS kind, 2 AS start_line, 2 AS end_line, 'limit_' || k || ' = 3' AS signature, 'limit_' || k || ' = 3' AS body FROM c
+UNION ALL SELECT file, k, 'C' || k, 'class', 4, 9, 'class C' || k || ':', concat_ws(chr(10), 'class C' || k || ':', '    def run(self):', '        return f' || k || '(1)', '', '    x = f' || k || '(2)', '') FROM c
+UNION ALL SELECT file, k, 'run', 'method', 5, 7, 'def run(self):', concat_ws(chr(10), '    def run(self):', '        return f' || k || '(1)', '') FROM c
+UNION ALL SELECT file, k, 'f' || k, 'function', 10, 11, 'def f' || k || '(a):', concat_ws(chr(10), 'def f' || k || '(a):', '    return len(a)') FROM c)"""
 
 
-@query(f"""WITH {_CODE} SELECT file, 'limit_' || k AS name, 'variable' AS kind, 2 AS start_line, 2 AS end_line FROM c UNION ALL SELECT file, 'C' || k, 'class', 4, 9 FROM c
-UNION ALL SELECT file, 'run', 'method', 5, 7 FROM c UNION ALL SELECT file, 'f' || k, 'function', 10, 11 FROM c""")
+@query(f"WITH {_SYMBOLS} SELECT file, name, kind, start_line, end_line, signature FROM s")
 def parse_symbols(spark, sf):
-    return parse.symbols(parse.lines(_code(spark, sf))).drop("signature")
+    return parse.symbols(parse.lines(_code(spark, sf)))
 
 
 @query(f"WITH {_CODE} SELECT file, '<module>' AS src, 'import os' AS dst, 'imports' AS kind, 1 AS n FROM c UNION ALL SELECT file, 'C' || k, 'f' || k, 'calls', 6 FROM c UNION ALL SELECT file, 'C' || k, 'f' || k, 'calls', 8 FROM c")
@@ -306,27 +308,71 @@ def parse_edges(spark, sf):
     return parse.edges(parse.lines(_code(spark, sf))).drop("pos")
 
 
-@query()
+@query(f"WITH {_SYMBOLS} SELECT file, name, kind, body FROM s")
+def explain_symbols(spark, sf):
+    sources = _code(spark, sf)
+    return parse.explain(parse.symbols(parse.lines(sources)), sources).select("file", "name", "kind", "body")
+
+
+# Each class calls its file's function and nothing else is called, so that one score serves all functions and one the rest.
+_SCORES = """RECURSIVE p AS (SELECT count(*) AS m FROM part), r(i, m, c, f) AS (SELECT 0, m, 1.0::DOUBLE / (3 * m + 1), 1.0::DOUBLE / (3 * m + 1) FROM p
+UNION ALL SELECT i + 1, m, (0.15::DOUBLE + 0.85::DOUBLE * (m * f + (m + 1) * c)) / (3 * m + 1), (0.15::DOUBLE + 0.85::DOUBLE * (m * f + (m + 1) * c)) / (3 * m + 1) + 0.85::DOUBLE * c FROM r WHERE i < 40)"""
+
+
+@query(f"""WITH {_SCORES}, {_SYMBOLS.replace("c AS (", "cc AS (", 1).replace("FROM c", "FROM cc")} SELECT name, kind, file, round(CASE kind WHEN 'function' THEN r.f ELSE r.c END, 9) AS score
+FROM (SELECT * FROM s WHERE name <> 'run' UNION ALL (SELECT * FROM s WHERE name = 'run' ORDER BY file LIMIT 1)) x, r WHERE i = 40""")
 def ranked_code_symbols(spark, sf):
+    return _ranked(spark, sf).select("name", "kind", "file", F.round("score", 9).alias("score"))
+
+
+def _ranked(spark, sf):
     numbered = parse.lines(_code(spark, sf))
-    return graph.rank_symbols(parse.symbols(numbered), parse.edges(numbered)).select("name", "kind", "file", F.round("score", 9).alias("score"))
+    return graph.rank_symbols(parse.symbols(numbered), parse.edges(numbered))
+
+
+_MAP = f"""{_SYMBOLS}, m AS (SELECT *, 10 + sum({_COST.format("'  ' || signature")} + 2) OVER (ORDER BY file) AS used FROM s WHERE kind = 'function')"""
 
 
-def _edit_texts(spark, sf):
-    """An edit for each benchmark item: its first line is replaced; every third anchor has a changed word, every seventh names no file."""
-    b = _table(spark, sf, "benchmark").select("item_id", "text", F.get(F.split("text", "\n"), F.lit(0)).alias("first"))
-    anchor = F.when(F.col("item_id") % 3 == 0, F.concat("first", F.lit(" zz"))).otherwise(F.col("first"))
-    path = F.concat(F.when(F.col("item_id") % 7 == 6, F.lit("none/")).otherwise(F.lit("b/")), F.col("item_id").cast("string"), F.lit(".txt"))
+@query(f"WITH {_MAP} SELECT name, file, CAST(used AS BIGINT) AS used FROM m WHERE used <= 400")
+def map_fit(spark, sf):
+    """The functions rank first, by file; so few tokens hold some of them alone."""
+    return graph.fit_map(_ranked(spark, sf), 400).select("name", "file", "used")
+
+
+@query(f"WITH {_MAP} SELECT file, file || chr(10) || '  ' || signature AS section, 1::BIGINT AS n FROM m WHERE used <= 400")
+def map_sections(spark, sf):
+    return graph.map_sections(graph.fit_map(_ranked(spark, sf), 400))
+
+
+def _edits(spark, sf):
+    """Files of two lines, the first from a benchmark item, and an edit of that line for each: every third anchor has a word more, every seventh names no file."""
+    line = F.trim(F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80))
+    b = _table(spark, sf, "benchmark").select("item_id", line.alias("line"), F.concat(line, F.lit("\ntail "), F.col("item_id").cast("string"), F.lit("\n")).alias("text"))
+    anchor = F.when(F.col("item_id") % 3 == 0, F.concat("line", F.lit(" zz"))).otherwise(F.col("line"))
+    name = F.concat(F.col("item_id").cast("string"), F.lit(".txt"))
+    path = F.concat(F.when(F.col("item_id") % 7 == 6, F.lit("none/")).otherwise(F.lit("b/")), name)
     s, m, e = "<" * 7 + " SEARCH", "=" * 7, ">" * 7 + " REPLACE"
-    return b.select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", path, F.lit(s), anchor, F.lit(m), F.lit("new line"), F.lit(e)).alias("text"))
+    texts = b.select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", path, F.lit(s), anchor, F.lit(m), F.lit("new line"), F.lit(e)).alias("text"))
+    return texts, b.select(F.concat(F.lit("b/"), name).alias("path"), "text")
 
 
-@query("""SELECT item_id AS doc_id, 0 AS hunk_idx, CASE WHEN item_id % 7 = 6 THEN 'none/' ELSE 'b/' END || item_id || '.txt' AS path, string_split(text, chr(10))[1] || CASE WHEN item_id % 3 = 0 THEN ' zz' ELSE '' END AS search, 'new line' AS replace FROM benchmark""")
+_EDITS = """b AS (SELECT item_id, trim(substring(string_split(text, chr(10))[1], 1, 80)) AS line, CASE WHEN item_id % 7 = 6 THEN 'none/' ELSE 'b/' END || item_id || '.txt' AS path FROM benchmark),
+r AS (SELECT *, CASE WHEN item_id % 7 = 6 THEN 0.0::DOUBLE WHEN item_id % 3 = 0 THEN 2 * length(line) / (2 * length(line) + 3)::DOUBLE ELSE 1.0 END AS ratio FROM b)"""
+
+
+@query(f"WITH {_EDITS} SELECT item_id AS doc_id, 0 AS hunk_idx, path, line || CASE WHEN item_id % 3 = 0 THEN ' zz' ELSE '' END AS search, 'new line' AS replace FROM b")
 def edit_blocks(spark, sf):
-    return edits.parse_blocks(_edit_texts(spark, sf))
+    return edits.parse_blocks(_edits(spark, sf)[0])
 
 
-@query()
+@query(f"""WITH {_EDITS} SELECT item_id AS doc_id, 0 AS hunk_idx, path, ratio > 0 AS ok, CASE WHEN ratio = 0 THEN 'there is no such file' ELSE printf('similarity %.2f', ratio) END AS detail, round(ratio, 6) AS ratio,
+CASE WHEN ratio > 0 THEN 'new line' || chr(10) || 'tail ' || item_id || chr(10) END AS new_text FROM r""")
 def apply_edits(spark, sf):
-    files = _table(spark, sf, "benchmark").select(F.concat(F.lit("b/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return edits.apply_hunks(edits.parse_blocks(_edit_texts(spark, sf)), files).select("doc_id", "hunk_idx", "path", "ok", "detail", F.round("ratio", 6).alias("ratio"), F.sha2("new_text", 256).alias("new_sha256"))
+    texts, sources = _edits(spark, sf)
+    return edits.apply_hunks(edits.parse_blocks(texts), sources).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"WITH {_EDITS} SELECT item_id AS doc_id, ratio > 0 AS ok, CASE WHEN ratio > 0 THEN 1 ELSE 0 END::BIGINT AS good, 1::BIGINT AS total FROM r")
+def edit_outcomes(spark, sf):
+    texts, sources = _edits(spark, sf)
+    return edits.outcomes(texts, edits.apply_hunks(edits.parse_blocks(texts), sources))

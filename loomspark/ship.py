@@ -1,4 +1,4 @@
-"""Makes the package importable on executors."""
+"""Makes a session fit for the package."""
 
 from __future__ import annotations
 
@@ -11,7 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once for each Spark application."""
+    """Sends the package's sources to the executors, once for each Spark application, and sets what right results need.
+
+    Spark 4.1 takes a union of parts that are dealt by a key for dealt by it too, though adaptive execution may have merged
+    each part's partitions in its own way; rows of one key then come to several groups. The setting is switched off.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if getattr(sc, "_loomspark_shipped", False):
         return

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field, fields
 from pathlib import Path
@@ -9,7 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Languages by extension and folders that are passed over.
+from ..scratch import qualified
+
+# Languages by extension, folders that are passed over, suffixes of documents that need a converter and of those that are text.
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust",
     ".java": "java", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cs": "c_sharp",
@@ -31,23 +34,52 @@ def is_convertible(path: Column) -> Column:
     return suffix(path).isin(*CONVERTIBLE, *TEXTLIKE)
 
 
+def is_source(path: Column) -> Column:
+    """Whether a relative path is a source file outside the ignored folders."""
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED))) & language(path).isNotNull()
+
+
+def _literal(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _under(spark: SparkSession, root: str, keep) -> DataFrame:
+    """path (relative to root) and content of the files for whose path the condition keep(path) holds; others are listed, never read."""
+    base = qualified(spark, root).rstrip("/")
+    relative = F.substr(F.col("path"), F.lit(len(base) + 2))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_literal(base)).select("path")
+    # The driver holds the listing of a tree in any case; of it, the kept paths.
+    wanted = [_literal(r["path"]) for r in listed.filter(keep(relative)).toLocalIterator()]
+    if not wanted:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(wanted).select(relative.alias("path"), "content")
+
+
+def parsed_texts(files: DataFrame) -> DataFrame:
+    """path, text, hash, lang of files (path, content): UTF-8 with bad bytes replaced, line ends made one kind."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    return files.select("path", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("hash"), language(F.col("path")).alias("lang"))
+
+
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), text, hash, lang of the source files under root; ignored folders count from the root on."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:")
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "")
-    kept = files.select(relative.alias("path"), "content").filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))) & language(F.col("path")).isNotNull())
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    return kept.select("path", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("hash"), language(F.col("path")).alias("lang"))
+    return parsed_texts(_under(spark, root, is_source))
+
+
+def document_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative) and content of the documents under root that can be converted."""
+    return _under(spark, root, is_convertible)
 
 
 def _json_lines(lines: DataFrame, schema: str, required: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the lines that are objects with exactly these keys; all others are skipped."""
+    lines = lines.select("value", F.monotonically_increasing_id().alias("pos"))
     keys = F.array_sort(F.json_object_keys("value"))
     ok = F.lit(False)
     for extra in [[], *([k] for k in optional)]:
         ok = ok | (keys == F.array(*map(F.lit, sorted([*required, *extra]))))
-    return lines.filter(F.coalesce(ok, F.lit(False))).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return lines.filter(F.coalesce(ok, F.lit(False))).select(F.from_json("value", schema).alias("r"), "pos").select("r.*", "pos")
 
 
 DECISION = "decision string, rationale string, files_touched array<string>, timestamp double"
@@ -55,27 +87,33 @@ REQUEST = "ts double, model string, fresh_in bigint, cached_in bigint, out bigin
 
 
 def decisions(lines: DataFrame) -> DataFrame:
+    """The log's entries; `pos` is their order within a file."""
     return _json_lines(lines, DECISION, ["decision", "rationale", "files_touched", "timestamp"])
 
 
 def requests(lines: DataFrame) -> DataFrame:
     out = _json_lines(lines, REQUEST, ["ts", "model", "fresh_in", "cached_in", "out", "cache_hit_rate", "cost_usd"], ("command",))
-    return out.withColumn("command", F.coalesce("command", F.lit("")))
+    return out.withColumn("command", F.coalesce("command", F.lit(""))).drop("pos")
+
+
+def _flat(body: Column, between: str) -> Column:
+    """A string as it is; of a list the texts of its objects, joined; empty for anything else. Told by the JSON type, not by its looks."""
+    kind = F.schema_of_variant(body)
+    part = lambda p: F.coalesce(F.when(F.schema_of_variant(p).startswith("OBJECT"), F.try_variant_get(p, "$.text", "string")), F.lit(""))
+    whole = F.filter(F.try_variant_get(body, "$", "array<variant>"), lambda p: F.schema_of_variant(p).startswith("OBJECT"))
+    return F.coalesce(F.when(kind == "STRING", F.try_variant_get(body, "$", "string")).when(kind.startswith("ARRAY"), F.array_join(F.transform(whole, part), between)), F.lit(""))
 
 
 def payload_turns(payloads: DataFrame) -> DataFrame:
     """conv_id, turn, role, content of chat payloads (conv_id, payload JSON): a content that is a list gives its parts' texts."""
-    raw = payloads.select("conv_id", F.posexplode(F.from_json(F.get_json_object("payload", "$.messages"), "array<string>")).alias("turn", "m"))
-    body = F.get_json_object("m", "$.content")
-    parts = F.from_json(body, "array<struct<text:string>>")
-    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
-    return raw.select("conv_id", "turn", F.coalesce(F.get_json_object("m", "$.role"), F.lit("user")).alias("role"), F.when(body.startswith("[{"), joined).otherwise(F.coalesce(body, F.lit(""))).alias("content"))
+    messages = F.try_variant_get(F.try_parse_json("payload"), "$.messages", "array<variant>")
+    raw = payloads.select("conv_id", F.posexplode(messages).alias("turn", "m"))
+    return raw.select("conv_id", "turn", F.coalesce(F.try_variant_get("m", "$.role", "string"), F.lit("user")).alias("role"), _flat(F.try_variant_get("m", "$.content", "variant"), "").alias("content"))
 
 
 def payload_system(payloads: DataFrame) -> DataFrame:
-    body = F.get_json_object("payload", "$.system")
-    parts = F.transform(F.from_json(body, "array<struct<text:string>>"), lambda p: F.coalesce(p["text"], F.lit("")))
-    return payloads.select("conv_id", F.when(body.startswith("[{"), F.array_join(parts, "\n")).otherwise(F.coalesce(body, F.lit(""))).alias("system"))
+    """conv_id, system: the texts of a list stand on lines of their own."""
+    return payloads.select("conv_id", _flat(F.try_variant_get(F.try_parse_json("payload"), "$.system", "variant"), "\n").alias("system"))
 
 
 def project_root(start: str) -> Path:
@@ -86,6 +124,8 @@ def project_root(start: str) -> Path:
 
 @dataclass(frozen=True)
 class Budgets:
+    """The window, what is left for the answer, and each layer's share of the rest."""
+
     window: int = 200_000
     generation_reserve: int = 8_000
     repo_map: float = 0.20
@@ -116,6 +156,12 @@ def load_config(path: str) -> Config:
     return Config(Budgets(**given), Config().models | raw.get("models", {}), tuple(raw.get("enabled_commands", ())))
 
 
+def write_config(c: Config, path: str) -> None:
+    p = Path(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text(config_toml(c))
+
+
 def config_toml(c: Config) -> str:
     rows = ["[budgets]", *(f"{f.name} = {getattr(c.budgets, f.name)}" for f in fields(Budgets)), "", "[models]", *(f'{k} = "{v}"' for k, v in c.models.items())]
     return f"enabled_commands = [{', '.join(f'"{x}"' for x in c.enabled_commands)}]\n\n" + "\n".join(rows) + "\n"

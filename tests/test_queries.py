@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomspark.plans import registry
+from loomspark.plans import surface as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -1,12 +1,18 @@
-r"""Benchmark decontamination with a positional inverted index.
+r"""Benchmark decontamination with a distributed positional inverted index.
 
-The index holds postings (term, document, position, neighbouring tokens) and is split by document: each partition of the
-corpus is one shard, so that lists of one document are intersected where they are made and only matches are shuffled. A
-window of test terms is looked up from its rarest term (by exact corpus counts); the lists of its other terms, adjusted by
-their offsets, must hold the same start, which the posting's neighbouring tokens tell. Frequent terms never produce rows.
+build_index() stores the postings of the test terms in the corpus once: rows (tid, r, pos), where tid numbers the terms and r
+the documents, in files of one shard of documents each, sorted by term, so that making them moves nothing and a term's list
+is one run of a file. A document's header is the posting of a term that no text has; it holds the document's identifier and
+number of words.
 
-The windows of the benchmark are broadcast. A broadcast holds about `max_windows` of them; a larger benchmark is dealt to
-blocks by term, and the shards are read once for each block.
+A window of test terms is looked up from its rarest term (by the lists' lengths): every posting of that term gives a place
+where the window would start. The list of the second rarest term, adjusted by its offset, is intersected with these places,
+and then the lists of the rest. Places that all lists hold are exact phrase matches; proximity_matches() asks instead that a
+span of few more words than the window holds all its terms. Only places leave a scan of the index, never texts.
+
+Test terms and places that are asked for are broadcast up to `most_broadcast` rows. More of them are joined by shuffle: terms
+with a salt, since one term's list may be long, and places by (term, document, position), of which each stands once, with the
+lists of the terms asked for.
 """
 
 from __future__ import annotations
@@ -14,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import ascii_lower, load
+from .textops import ascii_lower, cut, load
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
+#: The header's term and its number: separators are in no word.
+HEADER, HEADER_ID = " ", -1
+MOST_BROADCAST = 600_000
+SALTS = 32
 
 
 def tokens(text: Column) -> Column:
@@ -25,85 +35,123 @@ def tokens(text: Column) -> Column:
     return F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1)
 
 
-def _clean(text: Column) -> Column:
-    return F.filter(tokens(text), lambda w: w != "")
-
-
 def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, terms: all runs of `size` words; the whole item if it has fewer, but not none."""
-    w = items.select(F.col("item_id").alias("item_id"), _clean(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    w = items.select(F.col("item_id").alias("item_id"), F.filter(tokens(F.col("text")), lambda x: x != "").alias("w")).filter(F.size("w") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.lit(size - 1))))
     return w.select("item_id", "w", at.alias("at")).select("item_id", F.slice("w", F.col("at"), size).alias("terms")).distinct()
 
 
-def _blocks(df: DataFrame, n: int) -> list[DataFrame]:
-    """df (term, ...) in n parts by term, each to be broadcast."""
-    return [F.broadcast(df if n == 1 else df.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == b)) for b in range(n)]
+def numbered_terms(windows: DataFrame) -> DataFrame:
+    """term, tid of the terms of windows and the header's; written out."""
+    terms = windows.select(F.explode("terms").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("tid"))
+    return cut(terms.unionByName(windows.sparkSession.createDataFrame([(HEADER, HEADER_ID)], "term string, tid bigint")), "terms")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _with_terms(postings: DataFrame, terms: DataFrame, key: str, most: int) -> DataFrame:
+    """Postings (r, pos, key, ...) joined with rows of terms (key, ...; written out)."""
+    if terms.count() <= most:
+        return postings.join(F.broadcast(terms), key)
+    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod(F.xxhash64("r", "pos"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, blocks: int) -> DataFrame:
-    """Occurrences in all documents of each test term."""
-    seen = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-    return _union([seen.join(part, "term", "left_semi") for part in _blocks(terms, blocks)]).groupBy("term").agg(F.count("*").alias("n"))
+def build_index(docs: DataFrame, terms: DataFrame, keep: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The stored postings of docs (doc_id, text) for terms (term, tid): tid, r, pos (from 1), and in headers (pos 0) row (doc_id and the columns named in keep) and n_words."""
+    row = F.struct("doc_id", *keep)
+    words = docs.select(F.monotonically_increasing_id().alias("r"), row.alias("row"), tokens(F.col("text")).alias("w"))
+    empty = lambda at: F.when(F.element_at("w", at) == "", 1).otherwise(0)
+    n = F.size("w") - empty(1) - F.when(F.size("w") > 1, empty(-1)).otherwise(0)
+    each = words.select("r", "row", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(HEADER)), "w")).alias("pos", "term"))
+    head = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    return cut(_with_terms(each, terms, "term", most_broadcast).select("tid", "r", "pos", head("row"), head("n_words")).sortWithinPartitions("tid"), "postings")
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds to each window its rarest term and that term's first offset."""
-    each = windows.withColumn("w", F.xxhash64("item_id", "terms")).select("w", "item_id", "terms", F.posexplode("terms").alias("off", "term"))
-    each = each.join(counts, "term", "left")
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("term"), F.col("off"))).alias("b")
-    return each.groupBy("w", "item_id", "terms").agg(best).select("item_id", "terms", F.size("terms").alias("len"), F.col("b.term").alias("term"), F.col("b.off").alias("off"))
+def _plan(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Each term of each window (w, item_id, len) whose terms all have postings: tid, off (from 0), rank (0: the rarest; the first of equals by number and place); written out."""
+    each = windows.select("w", "item_id", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term")).join(terms, "term")
+    counts = index.groupBy("tid").agg(F.count("*").alias("n"))
+    lists = each.join(counts, "tid").groupBy("w", "item_id", "len").agg(F.sort_array(F.collect_list(F.struct("n", "tid", "off"))).alias("by"))
+    return cut(lists.filter(F.size("by") == F.col("len")).select("w", "item_id", "len", F.posexplode("by").alias("rank", "x")).select("w", "item_id", "len", "rank", "x.tid", "x.off"), "search")
 
 
-def _anchors(docs: DataFrame, items: DataFrame, size: int, max_windows: int) -> list[DataFrame]:
-    windows = windows_of(items, size)
-    blocks = max(1, -(-windows.count() // max_windows))
-    counts = term_counts(docs, windows.select(F.explode("terms").alias("term")).distinct(), blocks)
-    return _blocks(anchored(windows, counts), blocks)
+def _postings(index: DataFrame) -> DataFrame:
+    return index.select("tid", "r", "pos").filter("pos > 0")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_windows: int = 200_000) -> DataFrame:
-    """Every exact occurrence: doc_id, h (hash of the text, which tells rows of one identifier apart), item_id, start and end positions of words (end is exclusive)."""
-    posted = docs.select("doc_id", F.xxhash64("text").alias("h"), tokens(F.col("text")).alias("words")).select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
+def _held(index: DataFrame, places: DataFrame, most: int) -> DataFrame:
+    """Of places (tid, r, pos, ...; written out), those that have a posting."""
+    asked = cut(places.select("tid", "r", "pos").distinct(), "asked")
+    if asked.count() <= most:
+        there = _postings(index).join(F.broadcast(asked), ["tid", "r", "pos"])
+    else:
+        lists = cut(asked.select("tid").distinct(), "lists")
+        there = _postings(index).join(F.broadcast(lists) if lists.count() <= most else lists, "tid", "left_semi").join(asked, ["tid", "r", "pos"])
+    return places.join(cut(there, "there"), ["tid", "r", "pos"])
+
+
+def phrase_matches(index: DataFrame, windows: DataFrame, terms: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Every exact occurrence of windows (w, item_id, terms): r, item_id, start and end positions of words (end is exclusive)."""
+    plan = _plan(index, windows, terms)
     start = F.col("pos") - F.col("off")
-    same = (F.col("word") == F.col("term")) & (start >= 0) & (F.slice("words", start + 1, F.col("len")) == F.col("terms"))
-    return _union([posted.join(part, same).select("doc_id", "h", "item_id", start.alias("start"), (start + F.col("len")).alias("end")) for part in _anchors(docs, items, size, max_windows)])
+    first = _with_terms(_postings(index), cut(plan.filter("rank = 0").drop("rank"), "rarest"), "tid", most_broadcast)
+    first = cut(first.select("w", "item_id", "len", "r", start.alias("start")).filter("start > 0"), "places")
+
+    def kept(found: DataFrame, ranks: str) -> DataFrame:
+        lists = plan.filter(ranks).select("w", "tid", "off")
+        return _held(index, cut(found.join(lists, "w").select("w", "item_id", "len", "r", "start", "tid", (F.col("start") + F.col("off")).alias("pos")), "places"), most_broadcast)
+
+    second = cut(kept(first, "rank = 1").select("w", "item_id", "len", "r", "start"), "places")
+    whole = kept(second, "rank > 1").groupBy("w", "item_id", "len", "r", "start").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("len") - 2)
+    out = first.filter("len = 1").unionByName(second.filter("len = 2")).unionByName(whole.drop("n"))
+    return out.select("r", "item_id", "start", (F.col("start") + F.col("len")).alias("end"))
+
+
+def proximity_matches(index: DataFrame, windows: DataFrame, terms: DataFrame, slop: int = 4, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Windows all of whose distinct terms stand, in any order, within a span of the window's length plus `slop` words: r, item_id, pos (of the rarest term)."""
+    plan = _plan(index, windows, terms)
+    reach = F.col("len") + F.lit(slop)
+    each = plan.groupBy("w", "item_id", "len", "tid").agg(F.min("rank").alias("rank"))
+    kinds = each.groupBy("w").agg(F.count("*").alias("kinds"))
+    rarest = cut(each.filter("rank = 0").join(kinds, "w").drop("rank"), "rarest")
+    places = cut(_with_terms(_postings(index), rarest, "tid", most_broadcast).select("w", "item_id", reach.alias("reach"), "kinds", "r", F.col("pos").alias("at")), "places")
+    asked = places.join(each.select("w", "tid"), "w")
+    near = _postings(index).join(asked, ["tid", "r"]).filter(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
+    found = near.groupBy("w", "item_id", "reach", "kinds", "r", "at").agg(F.collect_set(F.struct("pos", "tid")).alias("all"))
+    inside = lambda p: F.filter("all", lambda x: (x["pos"] >= p["pos"]) & (x["pos"] < p["pos"] + F.col("reach")))
+    spans = lambda p: (p["pos"] <= F.col("at")) & (F.col("at") < p["pos"] + F.col("reach")) & (F.size(F.array_distinct(F.transform(inside(p), lambda x: x["tid"]))) == F.col("kinds"))
+    return found.filter(F.exists("all", spans)).select("r", "item_id", F.col("at").alias("pos")).distinct()
+
+
+def searched(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (), size: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of docs for the terms of items' windows, the numbered windows and the numbered terms."""
+    windows = cut(windows_of(items, size).withColumn("w", F.monotonically_increasing_id()), "windows")
+    terms = numbered_terms(windows)
+    return build_index(docs, terms, keep, most_broadcast), windows, terms
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 4, size: int = WINDOW, max_windows: int = 200_000) -> DataFrame:
-    """Places where all distinct terms of a window occur within its length plus `slop` words around its rarest term: doc_id, item_id, pos (of that term)."""
-    posted = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
-    begin = F.greatest(F.lit(1), F.col("pos") - F.col("off") - F.lit(slop) + 1)
-    near = F.slice("words", begin, F.col("len") + 2 * slop)
-    same = (F.col("word") == F.col("term")) & (F.size(F.array_except("terms", near)) == 0)
-    return _union([posted.join(part, same).select("doc_id", "item_id", "pos") for part in _anchors(docs, items, size, max_windows)]).distinct()
+def headers(index: DataFrame) -> DataFrame:
+    """r, row and n_words of each document of an index."""
+    return index.filter(F.col("tid") == HEADER_ID).select("r", "row", "n_words")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, with_hash: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per input row. with_hash adds text_hash, the text's xxhash64.
+def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the columns of docs named in keep; one row per input row.
 
     Null or empty texts have no words and no hits; their items_sha256 is that of the empty string. Items without words
-    match nothing. Rows that repeat an identifier each get the result of their own text.
+    match nothing; equal windows of one item count once. Rows that repeat an identifier each get the result of their own
+    text, whatever its length, and null identifiers stay null. Other columns of docs aren't read. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    hits = phrase_matches(docs, items).groupBy("doc_id", "h").agg(
+    index, windows, terms = searched(docs.select("doc_id", "text", *keep), items, keep, most_broadcast=most_broadcast)
+    hits = phrase_matches(index, windows, terms, most_broadcast).groupBy("r").agg(
         F.sort_array(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")
     )
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to"))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda a: a["n"]).alias("n"), "ids")
-    count = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), count.cast("long").alias("n_words"))
-    out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
+    hits = hits.select("r", F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda a: a["n"]).alias("n"), "ids")
+    out = headers(index).join(hits, "r", "left")
     hit, ids = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), *([base["h"].alias("text_hash")] if with_hash else [])
+        "row.doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), *[F.col(f"row.`{c}`").alias(c) for c in keep]
     )
 
 

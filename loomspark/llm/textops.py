@@ -7,9 +7,6 @@ Python object is made per word.
 from __future__ import annotations
 
 import itertools
-import os
-import re
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +15,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, forget, work_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _U = np.uint64
 _P = 0x9E3779B97F4A7C55 | 1
@@ -36,59 +35,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Removes an execution's shuffle files when it ends; what a written table was made from isn't needed any more.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def _at(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. What the application leaves there is deleted when the driver exits.
-
-    Only in local mode may the setting be missing: then a folder of the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = os.path.join(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")), "_work")
-    own = f"{base.rstrip('/')}/loomspark-{spark.sparkContext.applicationId}"
-    if own not in _MADE:
-        _MADE.add(own)
-        fs, at = _at(spark, own)
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-_MADE: set[str] = set()
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later steps neither recompute it nor depend on lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of cut() that nothing reads any more."""
-    for t in tables:
-        fs, at = _at(t.sparkSession, t.cut_path)
-        fs.delete(at, True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = h ^ (h >> _U(32))

@@ -8,10 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import cut
+from .textops import cut, forget
+
+
+#: Rows of two numbers that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -32,7 +36,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         out = small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        edges = cut(out.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
+        before, edges = edges, cut(out.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
+        forget(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(now) == state:
             break
@@ -43,10 +48,12 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
 
 
 def colliding(keys: DataFrame, name: str) -> DataFrame:
-    """The rows of keys (key, id, ...) whose key stands at two different ids, with `pivot`, the key's smallest id; written out."""
-    w = Window.partitionBy("key")
-    both = keys.withColumn("pivot", F.min("id").over(w)).withColumn("_most", F.max("id").over(w))
-    return cut(both.filter("pivot <> _most").drop("_most").distinct(), name)
+    """The rows of keys (key, id, ...; all different) whose key stands at two different ids, with `pivot`, the key's smallest id; written out.
+
+    The smallest and largest id of a key combine before their shuffle, and the join with them can split a hot key.
+    """
+    ends = cut(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_most")).filter("pivot <> _most").select("key", "pivot"), name)
+    return cut(keys.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "key"), name)
 
 
 def spanning(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[tuple[int, int]]:
@@ -93,9 +100,8 @@ def _blockwise(many: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndar
 
 def _mixed(labelled: DataFrame) -> DataFrame:
     """Rows (key, id, component) whose key stands in two components, with the key's size."""
-    w = Window.partitionBy("key")
-    marked = labelled.withColumn("_a", F.min("component").over(w)).withColumn("_b", F.max("component").over(w)).withColumn("size", F.count("*").over(w))
-    return marked.filter("_a <> _b").select("key", "id", "component", "size")
+    ends = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("size")).filter("_a <> _b")
+    return labelled.join(cut(ends.select("key", "size"), "mixed"), "key").select("key", "id", "component", "size")
 
 
 def linked(
@@ -113,13 +119,13 @@ def linked(
     """
     star = verify(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     first = cut(components(star, name), name)
-    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = cut(shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), name)
     mixed = cut(_mixed(labelled), name)
     few = mixed.filter(F.col("size") <= small)
     left = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     right = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = verify(left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()).select("a", "b")
-    split = _mixed(finer(mixed.filter(F.col("size") > hot).select("key", "id", "component")).distinct())
+    split = _mixed(cut(finer(mixed.filter(F.col("size") > hot).select("key", "id", "component")).distinct(), name))
     many = mixed.filter((F.col("size") > small) & (F.col("size") <= hot)).unionByName(split)
     more = cut(pairs.unionByName(_blockwise(many, near, members)), name)
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), name)

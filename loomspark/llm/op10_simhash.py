@@ -18,7 +18,6 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +91,48 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys)
 
 
+_PRIMES = [np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many stretches of a byte array that has eight bytes more than they need; stretches of one length are hashed together."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    word = lambda at, kind: np.ndarray((len(data) - 7,), kind, data, 0, (1,))[at].astype(np.uint64)
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    mixed = lambda acc, at: turn(acc + word(at, "<u8") * p2, 31) * p1
+    out = np.empty(len(starts), np.uint64)
+    order = np.argsort(lengths, kind="stable")
+    edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+    none, seed = np.uint64(0), np.uint64(seed)
+    for lo, hi in itertools.pairwise(edges.tolist()):
+        rows = order[lo:hi]
+        at, length = starts[rows], int(lengths[rows[0]])
+        end, left = at + length, length
+        if length >= 32:
+            acc = [np.full(len(rows), x, np.uint64) for x in (seed + p1 + p2, seed + p2, seed, seed - p1)]
+            while left >= 32:
+                acc = [mixed(a, at + 8 * k) for k, a in enumerate(acc)]
+                at, left = at + 32, left - 32
+            h = turn(acc[0], 1) + turn(acc[1], 7) + turn(acc[2], 12) + turn(acc[3], 18)
+            for a in acc:
+                h = (h ^ (turn(a * p2, 31) * p1)) * p1 + p4
+        else:
+            h = np.full(len(rows), seed + p5, np.uint64)
+        h = h + np.uint64(length)
+        while left >= 8:
+            h = turn(h ^ mixed(none, at), 27) * p1 + p4
+            at, left = at + 8, left - 8
+        if left >= 4:
+            h = turn(h ^ (word(at, "<u4") * p1), 23) * p2 + p3
+            at, left = at + 4, left - 4
+        for k in range(left, 0, -1):
+            h = turn(h ^ (data[end - k].astype(np.uint64) * p5), 11) * p1
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        out[rows] = h ^ (h >> np.uint64(32))
+    return out
+
+
 def fingerprints_of(texts: pa.Array) -> np.ndarray:
     """Fingerprints (uint64) of a chunk of texts."""
     w = words_of(texts)
@@ -106,14 +147,13 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
     np.add.at(inside, w.starts, 1)
     np.add.at(inside, w.ends, -1)
     norm[keep] = w.buf[np.cumsum(inside[:-1]).astype(bool)] if len(w.buf) else norm[keep]
-    data = norm.tobytes()
     owner, last = w.owner(), np.repeat(w.first[1:], np.diff(w.first))
     i = np.arange(len(w.starts))
     begin = (i + 3 <= last) | (i == w.first[:-1][owner])  # a text of fewer words is one shingle
     i = i[begin]
-    a, b = to[i].tolist(), (to[np.minimum(i + 3, last[i])] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(data[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+    a, b = to[i], to[np.minimum(i + 3, last[i])] - 1
+    with np.errstate(over="ignore"):
+        h = xxh64(np.append(norm, np.zeros(8, np.uint8)), a, b - a, 42)
     out = np.zeros(n, np.uint64)
     own = owner[i]
     first = np.searchsorted(own, np.arange(n + 1))
@@ -150,7 +190,8 @@ def print_keys(prints: DataFrame) -> DataFrame:
                 at, keys = golay_keys(fp.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at])], ["key", "id"])
 
-    return prints.select("fp").mapInArrow(run, "key bigint, id bigint")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("fp").repartition(parts).mapInArrow(run, "key bigint, id bigint")  # each print becomes about 60 keys
 
 
 #: Six parts of a fingerprint, as masks.
@@ -172,7 +213,9 @@ def simhash_components(docs: DataFrame, bits: int = 3, keep: tuple[str, ...] = (
     """doc_id, fingerprint, component_id (and columns named in keep); one row per input row.
 
     Null and empty texts have fingerprint zero and link like any other. component_id is the smallest identifier reachable;
-    null identifiers are passed over, and a component without any other has none. bits is at most 3.
+    null identifiers are passed over, and a component without any other has none. Whole texts are read, however long; equal
+    fingerprints are one item, and a bit that exactly half the shingles set is 0. Rows that repeat an identifier each get the
+    result of their own text. Other columns are read only if named in keep. An empty table gives no rows. bits is at most 3.
     """
     if not 0 <= bits <= 3:
         raise ValueError("the keys find pairs of at most 3 differing bits")

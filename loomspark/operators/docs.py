@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import exists
-from ..sources.files import TEXTLIKE, suffix
+from ..sources.files import TEXTLIKE, suffix, utf8
 
 
 def html_text(html: Column) -> Column:
@@ -44,7 +44,7 @@ def convert(documents: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     hashed = documents.select("path", "content", F.sha2("content", 256).alias("digest"))
     misses = hashed.join(cache.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.min_by(F.struct("path", "content"), "path").alias("d")).select("digest", "d.*")
     kind = suffix(F.col("path"))
-    text = F.decode("content", "UTF-8")
+    text = utf8(F.col("content"))
     fresh = misses.select("digest", F.when(kind.isin(*TEXTLIKE), text).when(kind.isin(".html", ".htm"), html_text(text)).alias("markdown")).filter("markdown IS NOT NULL")
     known = cache.select("digest", "markdown").unionByName(fresh)
     return hashed.select("path", "digest").join(known, "digest", "left").select("path", "digest", F.coalesce("markdown", stub(F.col("path"))).alias("markdown")), fresh

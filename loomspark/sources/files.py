@@ -56,9 +56,14 @@ def _under(spark: SparkSession, root: str, keep) -> DataFrame:
     return spark.read.format("binaryFile").load(wanted).select(relative.alias("path"), "content")
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text, with U+FFFD for bad ones."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def parsed_texts(files: DataFrame) -> DataFrame:
     """path, text, hash, lang of files (path, content): UTF-8 with bad bytes replaced, line ends made one kind."""
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    text = F.regexp_replace(utf8(F.col("content")), "\r\n?", "\n")
     return files.select("path", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("hash"), language(F.col("path")).alias("lang"))
 
 

@@ -246,3 +246,134 @@ def test_config(tmp_path):
     p.write_text("[budgets]\nnone = 1\n")
     with pytest.raises(TypeError):
         files.load_config(str(p))
+
+
+def test_pagerank_passes_over_unlisted_nodes(spark):
+    """Edges to or from a node that isn't listed count in neither form; no mass is lost."""
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "node int")
+    links = [(0, 1), (1, 2), (2, 0)]
+    odd = spark.createDataFrame([*links, (0, 9), (9, 1), (None, 2), (3, None)], "src int, dst int")
+    plain = spark.createDataFrame(links, "src int, dst int")
+    for most in (10**6, 0):
+        a, b = ({r["node"]: r["score"] for r in graph.pagerank(nodes, x, rounds=3, one_task_edges=most).collect()} for x in (odd, plain))
+        assert a == pytest.approx(b) and sum(a.values()) == pytest.approx(1)
+    assert graph.pagerank(nodes.limit(0), odd).count() == 0
+
+
+def test_payload_types(spark):
+    """Content is told by its JSON type."""
+    contents = ["[]", '"[{\\"a\\":1}] is json"', '["plain", {"text": "x"}, {"type": "image"}, {"text": "y"}]', "null", "7", '"t"', "{}"]
+    payload = '{"messages":[' + ",".join(f'{{"role":"user","content":{c}}}' for c in contents) + ',{"role":"assistant"}]}'
+    df = spark.createDataFrame([(1, payload), (2, "{bad"), (3, "{}"), (4, '{"system":"s [{","messages":[]}')], "conv_id int, payload string")
+    got = [(r["turn"], r["role"], r["content"]) for r in files.payload_turns(df).orderBy("conv_id", "turn").collect()]
+    assert got == [*((i, "user", t) for i, t in enumerate(["", '[{"a":1}] is json', "xy", "", "", "t", ""])), (7, "assistant", "")]
+    assert {r["conv_id"]: r["system"] for r in files.payload_system(df).collect()} == {1: "", 2: "", 3: "", 4: "s [{"}
+
+
+def test_source_tree_with_pattern_characters(spark, tmp_path):
+    """Roots and names may hold characters of patterns; folders above the root don't count; ignored files aren't read."""
+    root = tmp_path / "build" / "a+b{c}[d]"
+    for name in ("m.py", "x[1].py", "s p/é.TS", "node_modules/n.js", "docs/r.md", "none.bin"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"one\r\ntwo\xff\r")
+    (root / "node_modules/n.js").chmod(0)
+    assert {r["path"]: (r["text"], r["lang"]) for r in files.source_files(spark, str(root)).collect()} == {n: ("one\ntwo�\n", k) for n, k in (("m.py", "python"), ("x[1].py", "python"), ("s p/é.TS", "typescript"))}
+    assert [(r["path"], bytes(r["content"])) for r in files.document_files(spark, str(root)).collect()] == [("docs/r.md", b"one\r\ntwo\xff\r")]
+    (root / "empty").mkdir()
+    assert files.source_files(spark, str(root / "empty")).count() == 0
+
+
+def test_log_keeps_its_order(spark, tmp_path):
+    """Entries of one time stay in the order they were written in."""
+    line = '{"decision":"d%d","rationale":"r","files_touched":[],"timestamp":%d}'
+    (tmp_path / "log.jsonl").write_text("\n".join(line % (i, i // 3) for i in range(9)))
+    log = files.decisions(spark.read.text(str(tmp_path / "log.jsonl")))
+    assert [r["decision"] for r in memory.log_tail(log, 5).collect()] == ["d4", "d5", "d6", "d7", "d8"]
+    assert memory.log_tail(log, 0).count() == 9
+
+
+def test_block_ends_equal_a_loop(spark):
+    rnd = random.Random(8)
+    sources = {f"f{k}.py": "\n".join(rnd.choice(["", "  ", " " * rnd.randint(0, 6) + rnd.choice(["def a():", "class B:", "x = 1", "y"])]) for _ in range(rnd.randint(1, 40))) for k in range(40)}
+    got = {(r["file"], r["n"]): r["end_line"] for r in parse.block_ends(parse.lines(spark.createDataFrame(list(sources.items()), "path string, text string"))).collect()}
+    for name, source in sources.items():
+        rows = source.splitlines()
+        for i, line in enumerate(rows):
+            if re.match(r"\s*(def|class)\b", line):
+                depth = len(line) - len(line.lstrip())
+                end = next((j for j in range(i + 1, len(rows)) if rows[j].strip() and len(rows[j]) - len(rows[j].lstrip()) <= depth), len(rows))
+                assert got.pop((name, i + 1)) == end
+    assert not got
+
+
+def test_locate_equals_trying_every_stretch():
+    import difflib
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        rows = ["".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 7))]
+        text = "".join(r + rnd.choice(["\n", "\r\n"]) for r in rows)
+        anchor = "\n".join("".join(rnd.choice("ab c") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(1, 3)))
+        if anchor in text:
+            continue
+        lines, want = text.splitlines(keepends=True), [x.strip() for x in anchor.splitlines()]
+        tried = []
+        for k in range(max(1, len(lines) - len(want) + 1)):
+            here = lines[k : k + len(want)]
+            tried.append((difflib.SequenceMatcher(None, "\n".join(x.strip() for x in here), "\n".join(want)).ratio(), -k, sum(map(len, lines[:k])), sum(map(len, lines[: k + len(want)]))))
+        best = max(tried)
+        assert edits.locate(text, anchor) == ((*best[2:], best[0]) if best[0] >= 0.7 else None)
+
+
+def test_sinks(spark, tmp_path):
+    finals = spark.createDataFrame([("n/a.txt", "one"), ("../up.txt", "no")], "path string, new_text string")
+    assert edits.write_files(finals, str(tmp_path / "r")) == ["n/a.txt"] and (tmp_path / "r/n/a.txt").read_text() == "one" and not (tmp_path / "up.txt").exists()
+    made = spark.createDataFrame([("a.md", b"# A"), ("x.pdf", b"%")], "path string, content binary")
+    for _ in range(2):
+        assert {r["path"]: r["markdown"] for r in docs.convert_stored(made, str(tmp_path / "cache")).collect()} == {"a.md": "# A", "x.pdf": "<!-- can't be converted: x.pdf -->"}
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+    files.write_config(files.Config(), str(tmp_path / "c/c.toml"))
+    assert files.load_config(str(tmp_path / "c/c.toml")) == files.Config()
+
+
+def test_engine_goes_on_with_its_logs(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.py").write_text("def one():\n    return 1\n")
+    (tmp_path / "p/b.py").write_text("def two():\n    return 2\n")
+    e = Engine(spark, str(tmp_path / "p"), store=str(tmp_path / "store"))
+    e.index()
+    (tmp_path / "p/a.py").write_text("def three():\n    return 3\n")
+    (tmp_path / "p/b.py").write_text("def four():\n    return 4\n")
+    assert e.index_file("a.py") and not e.index_file("a.py") and e.index_file("a.py", force=True)
+    assert {r["name"] for r in e.symbols.collect()} == {"three", "two"}
+    turns = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(6)], "conv_id int, turn int, role string, text string")
+    for _ in range(2):  # the second time, the decision is already there
+        assert e.dispatch("/clearchat", turns=turns)[1] == {"compressed": 2, "kept_verbatim": 4}
+    e.record("top", 1000, 1000, 10)
+    later = Engine(spark, str(tmp_path / "p"), store=str(tmp_path / "store"))
+    assert [(r["decision"], r["timestamp"] > 1e9) for r in later.log.collect()] == [("t0", True)]
+    assert later.dispatch("/showstats")[1]["requests"] == 1 and later.requests.first()["cache_hit_rate"] == 0.5
+    text = edits.make_block("a.py", "return 3", "return 33")
+    assert e.dispatch("/applychanges", text=text, dry_run=True)[1]["written"] == [] and "33" not in (tmp_path / "p/a.py").read_text()
+    assert e.dispatch("/applychanges", text=text, write=True)[1]["written"] == ["a.py"] and "return 33" in (tmp_path / "p/a.py").read_text()
+
+
+def test_parser_and_counter_hooks(spark):
+    df = spark.createDataFrame([("a.py", "def f():\n    pass\n"), ("b.go", "func g() {}\n")], "path string, text string")
+
+    def go(found):
+        name = found.select(F.col("path").alias("file"), F.lit("g").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("func g()").alias("signature"))
+        return name, parse.edges(parse.lines(found))
+
+    symbols, _ = parse.parse(df, {"go": go})
+    assert {(r["file"], r["name"]) for r in symbols.collect()} == {("a.py", "f"), ("b.go", "g")} and {r["name"] for r in parse.parse(df)[0].collect()} == {"f"}
+    words = lambda c: F.size(F.split(c, " ")).cast("long")
+    turns = spark.createDataFrame([(1, i, "user", "a b c") for i in range(4)], "conv_id int, turn int, role string, text string")
+    assert budget.newest_fit(turns, 8, counter=words).count() == 2
+    t = lambda x: spark.createDataFrame([(1, x)], "conv_id int, text string")
+    small = files.Budgets(window=20, generation_reserve=0)
+    layers = {"repo_map": t("a b c\nd e\nf g h"), "user": t("x y")}
+    blocks = assemble.assemble(layers, small, counter=words)
+    assert {r["layer"]: r["tokens"] for r in blocks.collect()}[6] == 2 and blocks.filter("layer = 2").first()["text"].startswith("a b c\n")
+    reports = spark.createDataFrame([(1, "over"), (2, None)], "conv_id int, note string")
+    assert assemble.notes(layers, small, reports, counter=words).collect()[0]["notes"] == ["repo_map clipped to 4 tokens", "over"]

@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, terms: DataFrame, keep: tuple[str, ...] = (), m
 def _plan(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFrame:
     """Each term of each window (w, item_id, len) whose terms all have postings: tid, off (from 0), rank (0: the rarest; the first of equals by number and place); written out."""
     each = windows.select("w", "item_id", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term")).join(terms, "term")
-    counts = index.groupBy("tid").agg(F.count("*").alias("n"))
+    counts = cut(index.groupBy("tid").agg(F.count("*").alias("n")), "counts")  # so that the join can split a term of many windows
     lists = each.join(counts, "tid").groupBy("w", "item_id", "len").agg(F.sort_array(F.collect_list(F.struct("n", "tid", "off"))).alias("by"))
     return cut(lists.filter(F.size("by") == F.col("len")).select("w", "item_id", "len", F.posexplode("by").alias("rank", "x")).select("w", "item_id", "len", "rank", "x.tid", "x.off"), "search")
 

@@ -34,22 +34,36 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, payload=True).filter("kept").select("row.*")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the struct of identifier and text hash that tells rows apart, under a name that no column has."""
+    name, taken = "key", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return docs.withColumn(name, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))), name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component of linked fingerprints."""
+    """The row with the smallest doc_id of each component of linked fingerprints; of rows that repeat identifier and text, one."""
     ship(spark)
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = simhash_components(docs.select("doc_id", "text", text.alias("th")), keep=("th",))
-    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("th"))
+    keyed, key = _keyed(docs)
+    found = simhash_components(keyed.select("doc_id", "text", F.col(key).alias("key")), keep=("key",))
+    order = F.struct(F.col("key.id").isNull().alias("null"), "key")
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("fp"))
-    keep = found.groupBy(group.alias("g")).agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.th").alias("_th"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_th")), "left_semi")
+    best = found.groupBy(group.alias("g")).agg(F.min(order).alias("best")).select(F.col("best.key").alias(key))
+    return keyed.join(best, key, "left_semi").dropDuplicates([key]).drop(key)
+
+
+#: A text with so many words of benchmark passages goes, however long it is.
+LEAST_HIT = 8
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without enough words from benchmark passages."""
+    """Documents without benchmark passages. A passage of LEAST_HIT words is enough; shorter items, which are everyday phrases, must be a twentieth of the text."""
     ship(spark)
-    found = decontaminate(docs, load(spark, sf_dir, "benchmark"), with_hash=True).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th")), "left_anti")
+    keyed, key = _keyed(docs)
+    found = decontaminate(keyed.select("doc_id", "text", F.col(key).alias("key")), load(spark, sf_dir, "benchmark"), keep=("key",))
+    gone = found.filter(F.col("contaminated") | (F.col("n_hit") >= LEAST_HIT)).select(F.col("key").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").drop(key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ P_k(w | v) = l * c(v w) / (c(v) + f V) + (1 - l) * ((1 - m) * c(k, w) / (N_k + f
 where counts but the last come from the filter and f is its rate of false hits: f V is what false hits add to the counts read
 for one context, so that each term's expected sum over all words is one. l = LAMBDA c(v) / (c(v) + f V), less where false
 hits prevail. Every factor depends on the text and the model alone. Classes are mixed within the text's probability; the
-class column of a scored row isn't read.
+class column of a scored row isn't read. Each lang is a class; beyond max_classes of them, those with fewest rows form one
+class of their own together, which bounds the work for a token.
 
 The last term is the exact unigram base. Filter and exact counts are broadcast while they have at most max_bits bits and
 max_vocab entries. Beyond either, texts are scored in chunks: the n-grams and tokens of a chunk, each once, are shuffled to
@@ -41,6 +42,8 @@ LAMBDA, MU = 0.2, 0.15
 FLUSH = 1 << 21
 #: Training text for each bucket, about: bounds what one task merges or is asked for.
 BUCKET_BYTES = 1 << 26
+#: The class of all langs beyond the largest ones.
+REST = "\0rest"
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 
@@ -87,10 +90,10 @@ def _counted(classes: list[str], bits: int):
         parts = {UNIGRAM: [], BIGRAM: [], CLASS: []}
         size, totals = 0, np.zeros(len(classes), np.int64)
         salts = np.array([hash_class(c) for c in classes], _U)
-        place = {c: i for i, c in enumerate(classes)}
+        place, rest = {c: i for i, c in enumerate(classes)}, len(classes) - 1  # only REST, the last, has langs that aren't named
         for batch in chunks(batches):
             tokens, before, first = token_stream(batch.column("text"))
-            kinds = np.array([place.get(c, 0) for c in batch.column("cls").to_pylist()], np.int64)
+            kinds = np.array([place.get(c, rest) for c in batch.column("cls").to_pylist()], np.int64)
             parts[UNIGRAM].append(tokens)
             parts[BIGRAM].append(_salted(BIGRAM, _pair(before, tokens)))
             parts[CLASS].append(_salted(CLASS, _pair(np.repeat(salts[kinds], np.diff(first)), tokens)))
@@ -232,15 +235,18 @@ def mean_counts(levels: np.ndarray) -> np.ndarray:
     return np.where(levels[..., 0] > 0, levels[..., 1] / np.maximum(1, levels[..., 0]), middle)
 
 
-def train(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000, max_classes: int = 8) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000, max_classes: int = 64) -> tuple[Model, DataFrame]:
     """The model of all rows of docs (doc_id, text, and lang if there), and the merged table in the shared folder."""
     spark = docs.sparkSession
     cls = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     typed = docs.select(F.col("text"), cls.alias("cls"))
-    top = typed.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(max_classes).collect()
-    classes = [r["cls"] for r in top] or [""]
+    top = typed.groupBy("cls").count().orderBy(F.desc("count"), "cls").limit(max_classes + 1).collect()
+    known = {r["cls"]: r["count"] for r in top[:max_classes]}
     # As many buckets as keep what one task merges the same at any size.
-    size = typed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    size, rows = typed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
+    if len(top) > max_classes:
+        known[REST] = rows - sum(known.values())
+    classes = list(known) or [""]
     bits = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (size // BUCKET_BYTES).bit_length())
     parts = typed.mapInArrow(_counted(classes, bits), "kind int, bucket int, keys binary, counts binary")
     merged = cut(parts.groupBy("bucket").applyInPandas(_reduced(), "bucket int, keys binary, counts binary, n bigint, total bigint, bits binary, ones bigint, size bigint, totals binary, levels binary"), "lm")
@@ -257,7 +263,6 @@ def train(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000,
             vocab[r["bucket"]] = np.frombuffer(r["keys"], _U)
             counts[r["bucket"]] = _counts_of(r["counts"], len(vocab[r["bucket"]]))
     joined = lambda x, kind: np.concatenate([a for a in x if a is not None] or [np.zeros(0, kind)])
-    known = {r["cls"]: r["count"] for r in top}
     n_docs = [known.get(c, 0) for c in classes]
     sizes = np.array([len(x) for x in slices], np.int64)
     rate = (sums[2] / max(1, sums[3] * 8)) ** HASHES
@@ -316,8 +321,9 @@ def _scored(shared):
 def score(docs: DataFrame, max_bits: int = 1 << 29, max_vocab: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
-    Learns from rows that aren't held out. Null text counts as empty: one end token. A null identifier hashes as an empty
-    text. An empty table gives no rows. Rows that repeat an identifier are each scored and each counted.
+    Learns from rows that aren't held out. Null text counts as empty: one end token. Whole texts are read, however long. A
+    null identifier hashes as an empty text, a null lang counts as an empty one. Rows that repeat an identifier are each
+    scored and each counted, equal texts alike. Columns other than doc_id, text and lang aren't read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(["lang"] if "lang" in docs.columns else []))

@@ -9,7 +9,9 @@ Which regions are tried follows from the threshold, so that none is missed: a te
 template's triggers, the words least usual in prose) can't reach it. Regions are the stretches around triggers.
 
 One-line templates differ in a word or two. In those of fewer than `SHORT` words every name, variant or version word must be
-aligned, and the aligned stretch of the text may hold no other such word.
+aligned, and the aligned stretch of the text may hold no other such word. Aligned words must also be dense in the text: they
+are `density` of the stretch from the first to the last at least, so that words scattered over prose are no notice; those of
+one-line templates stand next to each other but for SHORT_GAP words.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .textops import chunks, load
 
-COVERAGE = 0.8
+COVERAGE, DENSITY = 0.8, 0.6
+#: Other words that may stand between those of a one-line template.
+SHORT_GAP = 1
 WORD = re.compile(r"[^\W_]+")
 #: License texts and notices that are looked for. Public standard wordings.
 TEMPLATES = {
@@ -65,6 +69,41 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
+    "bsd-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+    ),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "boost-1.0-notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "cc-by-4.0-notice": (
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    ),
+    "cc-by-sa-4.0-notice": (
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    ),
+    "cc-by-nc-4.0-notice": (
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    ),
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published under CC0 1.0 Universal Public Domain Dedication.",
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
@@ -73,7 +112,9 @@ TEMPLATES = {
 }
 #: Templates of fewer words need their names, variants and versions; other ones of these (but "by") within the stretch refute them.
 SHORT = 20
-_TELLING = set("mit apache bsd isc mozilla gnu lesser library affero cc by nc nd sa".split())
+_TELLING = set("mit apache bsd isc mozilla gnu lesser library affero cc cc0 by nc nd sa attribution sharealike noncommercial noderivatives boost".split())
+#: Names that tell longer templates apart.
+_NAMES = set("lesser affero mozilla boost sharealike noncommercial noderivatives sa nc nd".split())
 #: Words too usual to be triggers.
 _USUAL = set("a an the of and or in on to is it be by as at for with this that are was any all not you no but may must from under use above".split())
 
@@ -132,14 +173,16 @@ def telling(word: str) -> bool:
 
 
 class Template:
-    def __init__(self, name: str, text: str, coverage: float):
-        self.name, self.words, self.coverage = name, words(text), coverage
+    def __init__(self, name: str, text: str, coverage: float, density: float = DENSITY):
+        self.name, self.words, self.coverage, self.density = name, words(text), coverage, density
         self.most_missing = int(len(self.words) * (1 - coverage) + 1e-9)
         self.telling = {i for i, w in enumerate(self.words) if telling(w) and w != "gnu"} if len(self.words) < SHORT else None
+        #: For longer ones, the names that tell variants apart.
+        self.named = {w for w in _NAMES if w in self.words}
         self.places: dict[str, list[int]] = {}
         for i, w in enumerate(self.words):
             self.places.setdefault(w, []).append(i)
-        count = Counter(self.words)
+        self.counts = count = Counter(self.words)
         self.triggers: set[str] = set()
         held = 0
         for w in sorted(count, key=lambda w: (w in _USUAL, -len(w), w)):
@@ -149,14 +192,24 @@ class Template:
             held += count[w]
 
     def fits(self, pairs: list[tuple[int, int]], text: list[str]) -> bool:
-        """Whether a short template's telling words, and no others, stand in the aligned stretch. The General Public License is known without "gnu"."""
+        """Whether the aligned words are dense in the text and tell this template from its variants.
+
+        Of a one-line template the telling words, and no others, stand in the aligned stretch; the General Public License is
+        known without "gnu". Of a longer one no other license's name stands there, and one of its own does.
+        """
+        first, last = pairs[0][1], pairs[-1][1] + 1
         if self.telling is None:
-            return True
+            names = {w for w in text[first:last] if w in _NAMES}
+            return len(pairs) >= self.density * (last - first) and names <= self.named and bool(names) == bool(self.named)
         here = {y for _, y in pairs}
-        return self.telling <= {x for x, _ in pairs} and not any(text[y] != "by" and telling(text[y]) and y not in here for y in range(pairs[0][1], pairs[-1][1] + 1))
+        gaps = sum(text[y] != "gnu" for y in range(first, last) if y not in here)
+        return gaps <= SHORT_GAP and self.telling <= {x for x, _ in pairs} and not any(text[y] != "by" and telling(text[y]) and y not in here for y in range(first, last))
 
     def best(self, text: list[str], hits: list[int]) -> tuple[float, int, int] | None:
-        """coverage, first and last + 1 word of the best region around the triggers' places, if it reaches the threshold."""
+        """coverage, first and last + 1 word of the best region around the triggers' places (in order), if it reaches the threshold; the first of equals.
+
+        Each trigger's place begins a window, of which its region's length bounds the number, so the work is linear in the text.
+        """
         n = len(self.words)
         found = None
         reach = 2 * n
@@ -169,11 +222,15 @@ class Template:
                 regions.append([a, b])
         for a, b in regions:
             region = text[a:b]
+            own = hits[bisect.bisect_left(hits, a) : bisect.bisect_left(hits, b)]
             # Repeated notices in a region hide unique words: windows that begin at each place of a trigger are tried too.
-            spans = [(0, len(region))] + [(max(0, h - a - n), min(len(region), h - a + n)) for h in hits if a <= h < b]
-            if self.telling is not None:  # the words of neighbouring notices of one kind are told apart by place
-                spans += [(max(0, h - a - k), min(len(region), h - a - k + n)) for h in hits if a <= h < b for k in self.places[text[h]]]
-            for s, e in spans:
+            spans = [(0, len(region))] + [(max(0, h - a - n), min(len(region), h - a + n)) for h in own]
+            # A one-line template's neighbouring notices, and a template that fills its window, are told apart by place.
+            spans += [(max(0, h - a - k), min(len(region), h - a - k + n + (SHORT_GAP if self.telling is not None else 0))) for h in own for k in self.places[text[h]]]
+            for s, e in dict.fromkeys(spans):
+                have = Counter(region[s:e])
+                if sum(min(k, have[w]) for w, k in self.counts.items()) < self.coverage * n:
+                    continue  # too few of the template's words, in whatever order
                 pairs = align(self.words, region[s:e])
                 if len(pairs) >= self.coverage * n and self.fits(pairs, region[s:e]) and (found is None or len(pairs) / n > found[0]):
                     found = len(pairs) / n, a + s + pairs[0][1], a + s + pairs[-1][1] + 1
@@ -199,16 +256,17 @@ def scan(text: str, templates: list[Template], triggers: dict[str, list[int]]) -
     return out
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:
     """doc_id, n_licenses, licenses (names in order of name), best_coverage, matches (array of name, coverage, start, end in words); one row per input row.
 
     Null and empty texts match nothing (best_coverage 0). Several notices of one template in a text count once, at the best
-    covered place, the first of equals. Rows that repeat are each scanned; an empty table gives no rows.
+    covered place, the first of equals. Whole texts are scanned, in time linear in their length. Rows that repeat are each
+    scanned; other columns aren't read; an empty table gives no rows.
     """
     source = dict(templates or TEMPLATES)
 
     def run(batches):
-        made = [Template(k, v, coverage) for k, v in sorted(source.items())]
+        made = [Template(k, v, coverage, density) for k, v in sorted(source.items())]
         triggers: dict[str, list[int]] = {}
         for i, t in enumerate(made):
             for w in t.triggers:

@@ -3,7 +3,8 @@
 A text's features are hashed counts of character-shape trigrams (letters, capitals, digits, spaces and each punctuation mark
 as classes), of words, and of words that repeat the one before. Labelled rows (a bounded sample) give the weights and, by
 singular value decomposition, a projection; the labelled vectors are broadcast. Every document is projected, its cosine with
-every labelled vector is computed exactly in blocks, and the nearest k vote with weights that grow with similarity.
+every labelled vector is computed exactly in blocks, and the nearest k vote with weights that grow with similarity; vectors as
+near as the k-th vote too, so that the order of the sample decides nothing.
 """
 
 from __future__ import annotations
@@ -87,9 +88,11 @@ class Space:
         out = np.empty(len(v))
         for a in range(0, len(v), 512):
             cosine = v[a : a + 512] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.exp(8 * np.take_along_axis(cosine, near, axis=1).astype(float) - 8)
-            out[a : a + 512] = ((weight * self.labels[near]).sum(axis=1) + 0.02 * rate) / (weight.sum(axis=1) + 0.02)
+            least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+            row, near = np.nonzero(cosine >= least - 1e-6)  # ties count however they are rounded
+            weight = np.exp(8 * cosine[row, near].astype(float) - 8)
+            votes, total = (np.bincount(row, x, len(cosine)) for x in (weight * self.labels[near], weight))
+            out[a : a + 512] = (votes + 0.02 * rate) / (total + 0.02)
         return out
 
 
@@ -123,7 +126,9 @@ def fit(sample: DataFrame, dimensions: int = DIMENSIONS) -> Space:
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per input row.
 
-    Null text counts as empty. Without labelled rows every score is 0.5. Repeated rows are each scored.
+    Null text counts as empty, which has no features and is placed like any other. Whole texts are read, however long.
+    Without labelled rows every score is 0.5. Repeated rows are each scored, equal texts alike; other columns aren't read.
+    An empty table gives no rows.
     """
     space = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, LABEL, FOLDS, HELD_OUT, most)))
 

@@ -241,13 +241,13 @@ def learn(sample: DataFrame, least: int = 5, purity: int = 10, contexts: int = L
 
 
 def _at_best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """What to add to log-odds z so that THRESHOLD is where the sample's F1 is greatest, the highest of equals."""
+    """What to add to log-odds z so that THRESHOLD is where the sample's F2 (recall counts twice) is greatest, the highest of equals."""
     order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
     last = np.append(z[1:] < z[:-1], True)  # equal ones fall on one side
     hits = np.cumsum(y)
-    f1 = np.where(last, 2 * hits / (np.arange(1, len(z) + 1) + y.sum()), -1.0)
-    best = int(np.argmax(f1))
+    f2 = np.where(last, 5 * hits / (np.arange(1, len(z) + 1) + 4 * y.sum()), -1.0)
+    best = int(np.argmax(f2))
     cut = z[best] if best + 1 == len(z) else (z[best] + z[best + 1]) / 2
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
 

@@ -190,7 +190,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     """doc_id, n_tokens, n_byte_pieces (by byte fallback), ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256, round_trip; with_ids adds ids and decoded.
 
     Null text counts as empty and has no tokens. round_trip: the decoded text equals the input, U+2581 read as a space.
-    Rows that repeat an identifier each get their result; an empty table gives no rows.
+    Whole texts are encoded, however long; of equally cheap paths the one with the longest last piece wins, as the pair
+    acceptor leaves only one. Rows that repeat an identifier each get their result, null identifiers stay null; other columns
+    aren't read. An empty table gives no rows.
     """
     path = path or model_path()
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -27,8 +27,9 @@ HEAD = 32
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: bool = False, min_hot: int = 256, max_hot: int = 4096) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; with payload also `row`, a struct of the input columns.
 
-    Null text counts as empty; empty texts form one group. A null identifier sorts last and is kept only where the whole
-    group has none. Rows that repeat an identifier and text: one of them is kept. An empty table gives no rows.
+    Null text counts as empty; empty texts form one group. Whole texts are compared, however long. A null identifier sorts
+    last and is kept only where the whole group has none. Rows that repeat an identifier and text: one of them is kept. Other
+    columns pass through in `row`, whatever their names. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.regexp_replace(text, RUN, " ")

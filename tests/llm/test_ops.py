@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from loomspark.llm import links, op1_sentencepiece, op2_substring, op3_lm, op4_quality, op5_license, op6_toxicity, op7_exact, op8_decontaminate, op9_tokens, op10_simhash, registry, textops
+from loomspark.llm import folds, links, op1_sentencepiece, op2_substring, op3_lm, op4_quality, op5_license, op6_toxicity, op7_exact, op8_decontaminate, op9_tokens, op10_simhash, registry, textops
 
 TABLES = "documents benchmark labels".split()
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,42 +72,93 @@ def test_sentencepiece_edges(edge_docs, no_docs):
 # 2
 
 
-def brute_repeats(texts):
-    """Documents with a paragraph (20 words or more) that links to an earlier one at 0.8, or a run of 47 words of an earlier document."""
-    pars, runs = [], collections.defaultdict(set)
+def brute_paragraphs(texts, least):
+    """(document, line) and five-word shingles of lines of `least` words or more, and each line's component under similarity 0.8 (equal words, if there are no shingles)."""
+    pars = []
     for i in sorted(texts):
-        w = words(texts[i])
-        for k in range(len(w) - 46):
-            runs[" ".join(w[k : k + 47])].add(i)
-        for line in (texts[i] or "").split("\n"):
-            w = words(line)
-            if len(w) >= 20:
-                pars.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+        lines = [words(line) for line in (texts[i] or "").split("\n")]
+        pars += [(i, n, w, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}) for n, w in enumerate(x for x in lines if x) if len(w) >= least]
     root = list(range(len(pars)))
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    holds = collections.defaultdict(list)
-    for n, (_, s) in enumerate(pars):
+    holds, kinds = collections.defaultdict(list), {}
+    for n, (*_, s) in enumerate(pars):
+        if (known := kinds.setdefault(frozenset(s), n)) != n:
+            a, b = sorted((find(n), find(known)))
+            root[b] = a
+            continue
         for both, count in collections.Counter(m for x in s for m in holds[x]).items():
-            if count >= 0.8 * (len(s) + len(pars[both][1]) - count):
+            if count >= 0.8 * (len(s) + len(pars[both][3]) - count):
                 a, b = sorted((find(n), find(both)))
                 root[b] = a
         for x in s:
             holds[x].append(n)
-    return {pars[n][0] for n in range(len(pars)) if find(n) != n} | {i for v in runs.values() for i in v if i != min(v)}
+    return pars, [find(n) for n in range(len(pars))]
+
 
+def brute_runs(texts, size):
+    """Documents that hold a run of `size` words of an earlier document."""
+    runs = collections.defaultdict(set)
+    for i in sorted(texts):
+        w = words(texts[i])
+        for k in range(len(w) - size + 1):
+            runs[" ".join(w[k : k + size])].add(i)
+    return {i for v in runs.values() if len(v) > 1 for i in v if i != min(v)}
 
-def test_substring_finds_all_repeats(spark, sf, docs):
+
+def test_substring_finds_all_repeats_and_no_others(spark, sf, docs):
     got = {r["doc_id"]: r for r in registry.QUERIES["op2_substring_dedup"](spark, sf).collect()}
     assert len(got) == len(docs)
-    assert brute_repeats(docs) <= {i for i, r in got.items() if r["n_removed"] > 0}
+    pars, group = brute_paragraphs(docs, 20)
+    later = {pars[n][0] for n in range(len(pars)) if group[n] != n}
+    gone = {i for i, r in got.items() if r["n_removed"] > 0}
+    assert later | brute_runs(docs, 47) <= gone <= later | brute_runs(docs, 24)
     assert all(r["n_removed"] <= r["n_repeated"] <= r["n_words"] for r in got.values())
 
 
+def test_paragraph_classes_are_the_components(spark, sf, docs):
+    """Recall of MinHash alone, on paragraphs of all lengths; links are exact, so no class joins two components."""
+    df = textops.load(spark, sf, "documents").select("doc_id", "text").selectExpr("doc_id", "xxhash64(coalesce(text, '')) th", "coalesce(text, '') text")
+    rows = op2_substring.paragraph_classes(df).collect()
+    pars, group = brute_paragraphs(docs, 1)
+    want = {p[:2]: g for p, g in zip(pars, group, strict=True)}
+    assert {(r["doc_id"], r["par"]) for r in rows} == set(want)
+    parts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        parts[want[r["doc_id"], r["par"]]][r["class"]] += 1
+    seen = [c for x in parts.values() for c in x]
+    assert len(seen) == len(set(seen))  # a class lies in one component
+    linked = sum(sum(x.values()) - 1 for x in parts.values())
+    lost = sum(len(x) - 1 for x in parts.values())
+    assert linked > 100 and lost <= 0.01 * linked, (lost, linked)
+
+
+def test_substring_reports_short_paragraphs_and_keeps_them(spark):
+    df = spark.createDataFrame([(1, "one two\nsome line of seven words in all"), (2, "One  two"), (3, "some line of seven words in all\nx"), (4, "y")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_short"], r["n_repeated"], r["n_removed"]) for r in op2_substring.substring_dedup(df).collect()}
+    assert got == {1: (9, 0, 0), 2: (2, 0, 0), 3: (7, 0, 0), 4: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("hot", [8000, 4])
+def test_paragraph_chains_under_fine_keys(spark, hot):
+    """Neighbours of a chain are similar, its ends aren't; classes are the same with split keys."""
+    rnd = random.Random(14)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for k in range(0, 60, 2):
+        base[k] = f"n{k}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id bigint, th bigint, text string")
+    got = {r["doc_id"]: r["class"] for r in op2_substring.paragraph_classes(df, hot=hot).collect()}
+    _, group = brute_paragraphs(dict(enumerate(texts)), 1)
+    assert len(set(got.values())) == len(set(group)) and all((got[i] == got[j]) == (group[i] == group[j]) for i in range(30) for j in range(30))
+
+
 def test_substring_variants_of_one_paragraph(spark):
     rnd = random.Random(4)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
@@ -225,6 +276,51 @@ def test_lm_terms_sum_to_about_one(spark, sf):
     assert np.mean(sums) == pytest.approx(1, abs=0.15) and max(sums) < 1.5
 
 
+def test_lm_scores_equal_the_formula(spark, sf, docs):
+    """Plain dictionaries in place of the filter: levels' means are the model's, false hits are all that differs."""
+    df = textops.load(spark, sf, "documents")
+    lang = {r["doc_id"]: r["lang"] for r in df.select("doc_id", "lang").collect()}
+    learned = [i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    m, _ = op3_lm.train(df.filter(df.doc_id.isin(learned)))
+    tokens = {i: [*words(t), "\n"] for i, t in docs.items()}
+    single, by_class, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+    for i in learned:
+        single.update(tokens[i])
+        by_class.update((lang[i], w) for w in tokens[i])
+        pairs.update(zip(["<b>", *tokens[i]], tokens[i]))
+    level = lambda c: int(math.log2(c)) + 1 if c else 0
+    read = lambda kind, c: m.means[kind - 1][level(c)]
+    noise, unseen = m.false_rate() * m.distinct, m.total + 0.5 * (m.distinct + 1)
+    share = [n + 1 for n in m.class_docs]
+    diffs = []
+    for r in op3_lm.score(df).collect():
+        logs = []
+        for k, c in enumerate(m.classes):
+            total, before = math.log10(share[k] / sum(share)), "<b>"
+            for w in tokens[r["doc_id"]]:
+                c1 = len(learned) if before == "<b>" else sum(read(2, by_class[x, before]) for x in m.classes)
+                reads = max(c1 + noise, 1.0)
+                lam = op3_lm.LAMBDA * c1 / reads
+                term = (1 - op3_lm.MU) * min(1, read(2, by_class[c, w]) / max(1, m.class_tokens[k] + noise)) + op3_lm.MU * (single[w] + 0.5) / unseen
+                total += math.log10(lam * min(1, read(1, pairs[before, w]) / reads) + (1 - lam) * term)
+                before = w
+            logs.append(total)
+        want = max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs))
+        assert r["score"] == pytest.approx(want, rel=0.1, abs=0.3), r["doc_id"]  # a few words with a false hit or two
+        diffs.append((r["score"] - want, want))
+    assert abs(sum(a for a, _ in diffs)) < 0.005 * abs(sum(b for _, b in diffs))
+
+
+@pytest.mark.parametrize(("most", "classes"), [(64, 9), (3, 4)])
+def test_lm_counts_every_class(spark, most, classes):
+    """Nine langs have a class each; beyond max_classes the rest share one of their own."""
+    rows = [(f"l{k}", f"t{k} u{k}") for k in range(9) for _ in range(9 - k)]
+    m, _ = op3_lm.train(spark.createDataFrame(rows, "lang string, text string"), max_classes=most)
+    each = [9 - k for k in range(9)]
+    docs = each if most >= 9 else [*each[:most], sum(each[most:])]
+    assert (len(m.classes), m.class_docs, m.class_tokens) == (classes, docs, [3 * n for n in docs])
+
+
 def test_lm_edges(edge_docs, no_docs, spark):
     rows = op3_lm.score(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2, 3))
@@ -236,14 +332,21 @@ def test_lm_edges(edge_docs, no_docs, spark):
 # 4, 6
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op4_quality", "quality", 0.9), ("op6_toxicity", "toxic", 0.9)])
-def test_classifiers_on_held_out_rows(spark, name, label, least):
-    sf = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else pytest.skip("no tables")
+@pytest.mark.parametrize(
+    ("name", "label", "table", "recall", "clean"),
+    # Toxicity: in sf0.1's held-out rows 7 of 144 toxic texts hold no word that tells them (junk and spam labelled by chance), in sf0.01's 2 of 18, where rarer languages have 4 training texts.
+    [("op4_quality", "quality", "sf0.01", 0.95, 0.9), ("op6_toxicity", "toxic", "sf0.01", 0.77, 0.97), ("op6_toxicity", "toxic", "sf0.1", 0.9, 0.985)],
+)
+def test_classifiers_on_held_out_rows(spark, name, label, table, recall, clean):
+    """Recall of label 1, and the share of label 0 that is left alone, each on held-out rows."""
+    sf = f"/root/testdata/{table}" if os.path.isdir(f"/root/testdata/{table}") else pytest.skip("no tables")
     want = {r["doc_id"]: r[label] for r in textops.load(spark, sf, "labels").collect()}
     rows = registry.QUERIES[name](spark, sf).collect()
-    held = [(r["predicted"], want[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in want]
-    assert len(held) > 50 and sum(a == b for a, b in held) / len(held) >= least
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    held = [(r["predicted"], want[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in want]
+    for value, least in ((1, recall), (0, clean)):
+        right = [a == b for a, b in held if b == value]
+        assert len(right) >= 10 and sum(right) / len(right) >= least, (value, sum(right), len(right))
 
 
 def test_votes_are_exact_cosines():
@@ -257,15 +360,57 @@ def test_votes_are_exact_cosines():
         near = np.argsort(-c)[:3]
         w = np.exp(8 * c[near] - 8)
         assert got[i] == pytest.approx(((w * y[near]).sum() + 0.02 * y.mean()) / (w.sum() + 0.02), rel=1e-5)
+    twice = op4_quality.Space(None, None, None, np.concatenate([v, v[::-1]]), np.concatenate([y, 1 - y[::-1]]))
+    assert twice.vote(v[:5], 1) == pytest.approx([0.5] * 5)  # ties vote together
+
+
+def test_labelled_sample_is_bounded(spark):
+    """Rows that repeat an identifier count once, by the first text in order."""
+    docs = spark.createDataFrame([(i, f"t{k}") for i in range(30) for k in range(40)] + [(3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 2 + [(4, 1), (None, 1)], "doc_id bigint, quality int")
+    some = folds.labelled(docs, labels, "quality", 4, 2, 5).collect()
+    assert len(some) == 5 and {r["text"] for r in some} <= {"", "t0"}
+    assert len(folds.labelled(docs, labels, "quality", 4, 2, 1000).collect()) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(30))
 
 
 def test_grammar_weighs_clauses():
     c = op6_toxicity.Classes({"=idiot": 4.0, "moro": 3.0})
     plain, target = op6_toxicity.evidence("what idiot work", c), op6_toxicity.evidence("you idiot", c)
-    assert 0 < plain < target
+    assert 0 < plain < target and op6_toxicity.evidence("idiot as ever, you", c) == target
     assert op6_toxicity.evidence("not an idiot", c) < plain and op6_toxicity.evidence("he said idiot", c) < target
+    assert op6_toxicity.evidence("not one of them is an idiot", c) == target  # the negation doesn't reach so far
     assert op6_toxicity.evidence("kill time", c) == 0 < op6_toxicity.evidence("I kill you", c)
-    assert op6_toxicity.evidence("moronic. fine", c) == pytest.approx(3.0) and op6_toxicity.evidence("all good", c) == 0
+    assert 0 < op6_toxicity.evidence("moronic. fine", c) < op6_toxicity.evidence("moronic work. fine", c) and op6_toxicity.evidence("all good", c) == 0
+
+
+def all_paths(symbols, machines):
+    """The least cost over every reading of every word and every path through machines in a row, each enumerated."""
+    import itertools
+
+    best = math.inf
+
+    def run(machine, word_classes):
+        found = [(0, 0.0, ())]
+        for k in word_classes:
+            found = [(t, cost + more, (*out, o)) for state, cost, out in found for o, more, t in machine.arcs[state].get(k, ())]
+        return [(cost + machine.ends[state], out) for state, cost, out in found if state in machine.ends]
+
+    for choice in itertools.product(*[op6_toxicity.readings(k, w) for k, w in symbols]):
+        paths = [(sum(c for _, c in choice), tuple(k for k, _ in choice))]
+        for m in machines:
+            paths = [(cost + more, out) for cost, word_classes in paths for more, out in run(m, word_classes)]
+        best = min([best, *(cost for cost, _ in paths)])
+    return max(0.0, -best)
+
+
+def test_grammar_equals_all_paths():
+    rnd = random.Random(11)
+    machines = [op6_toxicity.negation_machine(), op6_toxicity.report_machine(), op6_toxicity.clause_machine()]
+    for _ in range(400):
+        kinds = [rnd.choice([0, 0, 1, 1, 2, 3, 4, 5]) for _ in range(rnd.randint(0, 9))]
+        symbols = [(k, rnd.choice([0.5, 2.0, 3.0, 6.0]) if k in (1, 2) else 0.0) for k in kinds]
+        assert op6_toxicity.clause_weight(symbols) == pytest.approx(all_paths(symbols, machines)), symbols
+    assert op6_toxicity.clause_weight([(4, 0.0), *[(0, 0.0)] * 50, (1, 3.0)]) == 3.0
 
 
 @pytest.mark.parametrize("f", [op4_quality.score_quality, op6_toxicity.toxicity])
@@ -335,10 +480,13 @@ def test_license_regions_miss_nothing():
     for t in made:
         filler = [f"x{rnd.randrange(999)}" for _ in range(400)]
         kept = list(t.words)
-        for _ in range(int(0.1 * len(kept))):
-            kept.pop(rnd.randrange(len(kept)))
-        found = {n for n, *_ in op5_license.scan(" ".join(filler[:200] + kept + filler[200:]), made, triggers)}
+        telling = [k for k in range(len(kept)) if t.telling is not None and k in t.telling]
+        gone = set(rnd.sample([k for k in range(len(kept)) if k not in telling], int(0.1 * len(kept))))
+        found = {n for n, *_ in op5_license.scan(" ".join(filler[:200] + [w for k, w in enumerate(kept) if k not in gone] + filler[200:]), made, triggers)}
         assert t.name in found, t.name
+        for k in telling:  # a one-line template isn't known without any one of these words
+            found = {n for n, *_ in op5_license.scan(" ".join(filler[:200] + kept[:k] + kept[k + 1 :] + filler[200:]), made, triggers)}
+            assert t.name not in found, (t.name, kept[k])
     assert op5_license.scan("nothing of the kind", made, triggers) == []
 
 
@@ -354,6 +502,62 @@ def test_license_variants_are_told_apart(spark):
     assert [got[i] for i in range(len(lines))] == list(lines.values())
 
 
+def whole_text_scan(text, made):
+    """Every template against every stretch of its length (and a tenth more) of a text."""
+    low = op5_license.words(text)
+    out = set()
+    for t in made:
+        n = len(t.words)
+        for size in sorted({n, n + 1, n + n // 10}):
+            for s in range(max(1, len(low) - size + 1)):
+                pairs = op5_license.align(t.words, low[s : s + size])
+                if len(pairs) >= t.coverage * n and t.fits(pairs, low[s : s + size]):
+                    out.add(t.name)
+    return out
+
+
+def test_license_recall_and_precision_on_altered_notices():
+    made = [op5_license.Template(k, v, op5_license.COVERAGE) for k, v in sorted(op5_license.TEMPLATES.items())]
+    triggers = collections.defaultdict(list)
+    for i, t in enumerate(made):
+        for w in t.triggers:
+            triggers[w].append(i)
+    rnd = random.Random(5)
+    prose = "the rights of the people were all kept in a public library where work is done under general conditions and software is distributed without any permission to copy or use a work of version".split()
+    same = wanted = found = 0
+    for t in made:
+        for share in (0, 0.1):
+            notice = list(t.words)
+            for _ in range(int(share * len(notice))):  # words lost, changed and put in
+                k = rnd.randrange(len(notice))
+                notice[k : k + 1] = rnd.choice([[], ["other"], [notice[k], "more"]])
+            text = " ".join([*rnd.choices(prose, k=60), *notice, *rnd.choices(prose, k=60)])
+            got, want = {n for n, *_ in op5_license.scan(text, made, triggers)}, whole_text_scan(text, made)
+            same += got == want
+            wanted += 1
+            found += t.name in got
+            assert got <= want | {t.name}, (t.name, got, want)
+    assert same >= 0.95 * wanted and found >= 0.85 * wanted, (same, found, wanted)
+    for text in ("all the land rights were reserved for the tribe", " ".join(rnd.choices(prose, k=3000)), "the public has a general license to this work and a version of it is under review 3"):
+        assert op5_license.scan(text, made, triggers) == []
+
+
+def test_license_long_text_of_triggers():
+    made = [op5_license.Template(k, v, op5_license.COVERAGE) for k, v in sorted(op5_license.TEMPLATES.items())]
+    triggers = collections.defaultdict(list)
+    for i, t in enumerate(made):
+        for w in t.triggers:
+            triggers[w].append(i)
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        began = time.time()
+        op5_license.scan("license software rights " * n, made, triggers)
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0]  # a square would be 16 times
+
+
 def test_license_edges(edge_docs, no_docs):
     assert op5_license.license_scan(edge_docs).count() == edge_docs.count() and op5_license.license_scan(no_docs).count() == 0
 
@@ -413,20 +617,35 @@ def brute_hits(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [200_000, 12])
-def test_decontamination_edges(edge_docs, no_docs, items, monkeypatch, most):
-    plain = op8_decontaminate.phrase_matches
-    monkeypatch.setattr(op8_decontaminate, "phrase_matches", lambda d, i: plain(d, i, max_windows=most))
-    got = op8_decontaminate.decontaminate(edge_docs, items).collect()
-    assert sorted(map(tuple, got), key=repr) == brute_hits([(r["doc_id"], r["text"]) for r in edge_docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_decontamination_edges(edge_docs, no_docs, items, most):
+    for some in (items, items.unionByName(items.sparkSession.createDataFrame([(11, "one"), (12, "lazy"), (13, "one two")], items.schema))):
+        got = op8_decontaminate.decontaminate(edge_docs, some, most_broadcast=most).collect()
+        assert sorted(map(tuple, got), key=repr) == brute_hits([(r["doc_id"], r["text"]) for r in edge_docs.collect()], [(r["item_id"], r["text"]) for r in some.collect()])
     assert op8_decontaminate.decontaminate(no_docs, items).count() == 0
     assert op8_decontaminate.decontaminate(edge_docs, items.limit(0)).filter("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a red x small y fox"), (2, "red q q q q q q q q q q small fox")], "doc_id bigint, text string")
-    i = spark.createDataFrame([(1, "small red fox")], "item_id bigint, text string")
-    assert {r["doc_id"] for r in op8_decontaminate.proximity_matches(d, i, slop=3).collect()} == {1}
+def test_index_holds_every_posting(edge_docs, items):
+    index, _, terms = op8_decontaminate.searched(edge_docs.select("doc_id", "text"), items)
+    want = collections.Counter(w for r in edge_docs.collect() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"])))
+    asked = {w for r in items.collect() for w in re.findall(r"[a-z0-9]+", lower(r["text"]))}
+    got = {r["term"]: r["count"] for r in index.filter("pos > 0").groupBy("tid").count().join(terms, "tid").collect()}
+    assert got == {w: n for w, n in want.items() if w in asked} and op8_decontaminate.headers(index).count() == edge_docs.count()
+
+
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_proximity(spark, most):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 25))) for _ in range(60)] + ["a red x small y fox", "red q q q q q q q q q q small fox"]
+    wanted = {1: "small red fox", 2: "a b a c", 3: "g f", 4: "e"}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    i = spark.createDataFrame(list(wanted.items()), "item_id bigint, text string")
+    index, windows, terms = op8_decontaminate.searched(d, i, most_broadcast=most)
+    ids = {r["r"]: r["row"]["doc_id"] for r in op8_decontaminate.headers(index).collect()}
+    got = {(ids[r["r"]], r["item_id"]) for r in op8_decontaminate.proximity_matches(index, windows, terms, slop=2, most_broadcast=most).collect()}
+    spans = lambda w, n: [set(w[k : k + n]) for k in range(max(1, len(w) - n + 1))]
+    assert got == {(n, k) for n, t in enumerate(texts) for k, x in wanted.items() if any(set(x.split()) <= s for s in spans(t.split(), len(x.split()) + 2))}
 
 
 # 9
@@ -447,6 +666,21 @@ def test_tokens_equal_the_library_and_the_cache_fills(spark, edge_docs, no_docs,
     assert spark.read.parquet(cache).count() == len({r["text"] or "" for r in edge_docs.collect()})
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_tokens_with_a_part_filled_cache(spark, edge_docs, docs, sf, most):
+    """Stored counts are used as they are, and only the misses are appended, each once."""
+    cache, all_docs = textops.work_dir(spark, "cache"), textops.load(spark, sf, "documents")
+    half = all_docs.filter("doc_id % 2 = 0")
+    op9_tokens.count_tokens(half, cache).count()
+    known = {r["digest"] for r in spark.read.parquet(cache).collect()}
+    spark.read.parquet(cache).withColumn("n_tokens", __import__("pyspark").sql.functions.col("n_tokens") + 1_000_000).write.parquet(cache + "-marked")
+    got = op9_tokens.count_tokens(all_docs, cache + "-marked", most_broadcast=most).collect()
+    digest = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in docs.items()}
+    assert len(got) == len(docs) and all((r["n_tokens"] >= 1_000_000) == (digest[r["doc_id"]] in known) for r in got)
+    stored = [r["digest"] for r in spark.read.parquet(cache + "-marked").collect()]
+    assert len(stored) == len(set(stored)) and set(stored) == set(digest.values())
+
+
 def test_token_parts_are_exact():
     from tokenizers import Tokenizer
 
@@ -489,6 +723,16 @@ def brute_components(prints):
     return sorted(((i, format(p, "016x"), least[find(n)]) for n, (i, p) in enumerate(prints)), key=repr)
 
 
+def test_hashes_equal_the_library():
+    rnd = np.random.default_rng(4)
+    data = rnd.integers(0, 256, 3000, dtype=np.uint8)
+    starts = rnd.integers(0, 2000, 2000)
+    lengths = np.concatenate([np.arange(150), rnd.integers(0, 900, 1850)])
+    with np.errstate(over="ignore"):
+        got = op10_simhash.xxh64(data, starts, lengths, 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(starts, lengths)]
+
+
 def test_golay_keys_find_all_pairs():
     rnd = random.Random(9)
     for _ in range(400):
@@ -571,7 +815,7 @@ def test_pipeline_stages(spark, sf, docs):
     assert three.columns == all_docs.columns and {r["doc_id"] for r in three.collect()} == want
     four = textops.cut(p.drop_contaminated(spark, three, sf), "p4")
     items = [(r["item_id"], r["text"]) for r in textops.load(spark, sf, "benchmark").collect()]
-    clean = {r[0] for r in brute_hits([(i, docs[i]) for i in want], items) if not r[5]}
+    clean = {r[0] for r in brute_hits([(i, docs[i]) for i in want], items) if r[2] == 0}  # no item of the table has fewer than 13 words
     assert four.columns == all_docs.columns and {r["doc_id"] for r in four.collect()} == clean
     assert {r["doc_id"] for r in p.run(spark, sf).collect()} == clean
 
@@ -579,8 +823,34 @@ def test_pipeline_stages(spark, sf, docs):
 def test_pipeline_edges(spark, sf, edge_docs, no_docs):
     import corpus_pipeline as p
 
-    for docs in (edge_docs, no_docs):
-        for _, stage in p.STAGES[:-1]:
+    from pyspark.sql import functions as F
+
+    clashing = edge_docs.select("*", *[F.lit("q").alias(c) for c in ("_id", "_th", "_norm", "th", "h", "_key", "__KEY", "r", "w", "pos", "term", "_sha", "fp", "cls", "held_out")])
+    texts = {(r["doc_id"], r["text"] or "") for r in edge_docs.collect()}
+    for docs in (edge_docs, clashing, no_docs):
+        for name, stage in p.STAGES[:-1]:
             out = stage(spark, docs, sf)
-            assert out.columns == docs.columns and out.count() <= docs.count()
+            assert out.columns == docs.columns
+            rows = [(r["doc_id"], r["text"] or "") for r in out.collect()]
+            assert set(rows) <= texts and len(rows) <= docs.count()
+            if docs is not no_docs and name == "exact_dedup":
+                assert len(rows) == len({re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in texts})
+            elif docs is not no_docs and name == "simhash_near_dedup":
+                want = brute_components([(i, brute_print(t)) for i, t in texts])
+                assert len(rows) == len({(c, f if c is None else None) for _, f, c in want})
         assert p.encode(spark, docs, sf).count() == docs.count()
+
+
+def test_pipeline_leaves_no_benchmark_passage(spark, tmp_path):
+    """A passage of 13 words in a text of 1,000; items of fewer words stay unless they are much of a text."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(2)
+    some = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    item, short = some(40), some(3)
+    a, b = some(1000), some(1000)
+    a[500:513], b[500:503] = item[7:20], short
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(some(1000))), (4, " ".join([*short, *some(9)])), (5, None)]
+    spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in p.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {2, 3, 5}

@@ -1,10 +1,11 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are a text's lines of at least min_words words; words are lower-cased (A-Z) runs of non-spaces. Each distinct
-paragraph gets a MinHash signature of its five-word shingles; bands of equal rows become keys, so many that a pair at the
-threshold collides with probability 1 - (1 - s^rows)^bands (0.998 at 0.8). Colliding paragraphs are verified by exact
-Jaccard similarity of their shingle sets, links are joined to components, and each component keeps the paragraph that comes
-first (smallest identifier, then position).
+Paragraphs are a text's lines; words are lower-cased (A-Z) runs of non-spaces. Each distinct paragraph of five words or more
+gets a MinHash signature of its five-word shingles; bands of equal rows become keys, so many that a pair at the threshold
+collides with probability 1 - (1 - s^rows)^bands (0.998 at 0.8). Colliding paragraphs are verified by exact Jaccard similarity
+of their shingle sets, links are joined to components, and each component keeps the paragraph that comes first (smallest
+identifier, then position). Shorter paragraphs are linked when their words are equal. Copies of min_words words or more are
+removed; those of fewer words (headings, greetings, closing formulas) are reported in a column of their own and stay.
 
 A passage can also stand inside longer paragraphs that differ. For these the same words are winnowed (Schleimer et al.,
 2003): of every `WINNOW` successive runs of `RUN` words the one with the smallest hash is kept, so that any shared stretch of
@@ -14,33 +15,38 @@ far as another document has the same. A word stays in the first document that ha
 
 Copies of a paragraph leave a task once, whatever their number. Paragraphs are first compared with one pivot of each key;
 only where a key still has several components are its members compared with each other, in blocks of bounded size whose
-rows are members, never pairs.
+rows are members, never pairs. A key of many thousand members is first split by finer bands, which a linked pair shares with
+probability 1 - 3e-8. Tables that nothing reads any more are deleted on the way.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .textops import chunks, cut, grams, load, mix, words_of
+from .textops import chunks, cut, forget, grams, load, mix, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
+FINE_BANDS, FINE_ROWS = 24, 3
+#: Paragraphs that are removed have so many words at least.
 MIN_WORDS = 20
 RUN, WINNOW = 24, 24
+#: Documents whose numbers are broadcast at most.
+MOST_NAMES = 500_000
 #: Digests remembered by a task so that it sends a paragraph's keys once.
 SEEN = 500_000
 _U = np.uint64
-_SALTS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+_SALTS = (mix(np.arange(1, BANDS * ROWS + FINE_BANDS * FINE_ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
 class _Lines:
     """Paragraphs of a chunk: word bounds, owning document, first word within its document, digest, and five-word shingles."""
 
-    def __init__(self, texts: pa.Array, min_words: int):
+    def __init__(self, texts: pa.Array, min_words: int = 1):
         self.words = w = words_of(texts)
         self.h = w.hashes()
         n = len(w.starts)
@@ -69,24 +75,12 @@ class _Lines:
         self.digest = mix(total[self.last] - total[self.first] + (self.last - self.first).astype(_U)).view(np.int64)
 
 
-def _units(min_words: int):
-    def run(batches):
-        for b in chunks(batches):
-            x = _Lines(b.column("text"), min_words)
-            at = pa.array(x.owner)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("th").take(at), pa.array(x.index), pa.array(x.first - x.words.first[x.owner]), pa.array(x.last - x.first), pa.array(x.digest)], ["doc_id", "th", "par", "start", "n", "digest"]
-            )
-
-    return run
-
-
-def signature_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Band keys (int64), one row of BANDS for each span [a, b) of shingles; spans aren't empty.
+def signature_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int = BANDS, rows_each: int = ROWS, salts: np.ndarray = _SALTS) -> np.ndarray:
+    """Band keys (int64), one row of `bands` for each span [a, b) of shingles; spans aren't empty.
 
     A permutation is a multiplication of the shingles' mixed upper halves by an odd number; 32 bits keep it in vector units.
     """
-    out = np.empty((len(a), BANDS), _U)
+    out = np.empty((len(a), bands), _U)
     half = np.append((shingles >> _U(32)).astype(np.uint32), np.uint32(0))
     last = np.maximum(b - 1, a)
     order = np.argsort(last - a, kind="stable")
@@ -100,75 +94,104 @@ def signature_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
         length = int((last - a)[rows[-1]]) + 1
         block = half[np.minimum(a[rows][None, :] + np.arange(length)[:, None], last[rows][None, :])]
         v = np.empty_like(block)
-        for band in range(BANDS):
+        for band in range(bands):
             key = np.full(len(rows), band + 1, _U)
-            for r in range(ROWS):
-                np.multiply(block, _SALTS[band * ROWS + r], out=v)
+            for r in range(rows_each):
+                np.multiply(block, salts[band * rows_each + r], out=v)
                 key = key * _U(0x100000001B3) + v.min(axis=0)
             out[rows, band] = key
     return mix(out).view(np.int64)
 
 
-def _bands(min_words: int):
-    def run(batches):
-        seen: set[int] = set()
-        for b in chunks(batches):
-            x = _Lines(b.column("text"), min_words)
-            _, first, copies = np.unique(x.digest, return_index=True, return_counts=True)
-            unseen = np.array([int(d) not in seen for d in x.digest[first].tolist()], bool)
-            new, copies = first[unseen], copies[unseen]
-            if not len(new):
-                continue
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(x.digest[new].tolist())
-            keys = signature_keys(x.shingles, x.spans[0][new], x.spans[1][new])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(x.digest[new], BANDS)), pa.array(np.repeat(copies, BANDS))], ["key", "id", "n"])
-
-    return run
-
-
-def _shingle_sets(min_words: int):
-    """Shingle sets of paragraphs, once for each task and digest."""
+def _new_ones(digests: np.ndarray, seen: set[int]) -> np.ndarray:
+    """First places of the digests that aren't in `seen`, which gets them; it is emptied when full."""
+    _, first = np.unique(digests, return_index=True)
+    new = first[np.array([int(d) not in seen for d in digests[first].tolist()], bool)] if len(first) else first
+    if len(seen) > SEEN:
+        seen.clear()
+    seen.update(digests[new].tolist())
+    return new
+
+
+#: What one pass over the texts finds: paragraphs, band keys of paragraphs of five words or more (once for each task and digest; copies: in the chunk where it was first seen), and winnowed runs.
+PARAGRAPH, BAND, RUNS = range(3)
+_FOUND = [("kind", pa.int8(), "tinyint"), ("doc_id", None, None), ("th", pa.int64(), "bigint"), ("start", pa.int64(), "bigint"), ("par", pa.int64(), "bigint"), ("n", pa.int64(), "bigint"), ("digest", pa.int64(), "bigint"), ("key", pa.int64(), "bigint"), ("id", pa.int64(), "bigint"), ("copies", pa.int32(), "int"), ("h", pa.int64(), "bigint")]
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """Rows of all three kinds for rows of _prepared, whose columns are null where a kind has none; written out."""
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         seen: set[int] = set()
         for b in chunks(batches):
-            x = _Lines(b.column("text"), min_words)
-            _, first = np.unique(x.digest, return_index=True)
-            new = [i for i in first.tolist() if int(x.digest[i]) not in seen]
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(x.digest[new].tolist())
-            sets = [np.unique(x.shingles[x.spans[0][i] : x.spans[1][i]]).view(np.int64) for i in new]
-            yield pa.RecordBatch.from_arrays([pa.array(x.digest[new]), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    return run
+            ids = b.column("doc_id")
 
+            def rows(what, size, /, ids=ids, **cols):
+                cols["kind"] = pa.array(np.full(size, what, np.int8))
+                return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, t or ids.type) for c, t, _ in _FOUND], [c for c, *_ in _FOUND])
 
-def _runs(batches):
-    """Winnowed runs: h, doc_id, th, start."""
+            x = _Lines(b.column("text"))
+            at = pa.array(x.owner)
+            yield rows(PARAGRAPH, len(x.owner), doc_id=ids.take(at), th=b.column("th").take(at), start=pa.array(x.first - x.words.first[x.owner]), par=pa.array(x.index), n=pa.array(x.last - x.first), digest=pa.array(x.digest))
+            long = np.flatnonzero(x.last - x.first >= SHINGLE)
+            new = long[_new_ones(x.digest[long], seen)]
+            if len(new):
+                order = np.sort(x.digest)
+                copies = np.searchsorted(order, x.digest[new], "right") - np.searchsorted(order, x.digest[new])
+                keys = signature_keys(x.shingles, x.spans[0][new], x.spans[1][new])
+                yield rows(BAND, keys.size, key=pa.array(keys.ravel()), id=pa.array(np.repeat(x.digest[new], BANDS)), copies=pa.array(np.repeat(copies, BANDS).astype(np.int32)))
+            h, own, start = _winnowed(x.words, x.h)
+            if len(h):
+                own = pa.array(own)
+                yield rows(RUNS, len(h), doc_id=ids.take(own), th=b.column("th").take(own), start=pa.array(start), h=pa.array(h.view(np.int64)))
+
+    return cut(docs.mapInArrow(run, ", ".join(f"{c} {t or kind.simpleString()}" for c, _, t in _FOUND)), "scan")
+
+
+def _shingle_sets(batches):
+    """Shingle sets of paragraphs, once for each task and digest."""
+    seen: set[int] = set()
     for b in chunks(batches):
-        w = words_of(b.column("text"))
-        h, at = grams(w.hashes(), w.first, RUN)
-        if not len(h):
-            continue
-        own = w.owner()[at]
-        starts = np.searchsorted(own, np.arange(len(w.first)))
-        pad = np.concatenate([h, np.full(WINNOW - 1, np.iinfo(np.uint64).max, _U)])
-        picked = np.zeros(len(h), bool)
-        # A window never crosses texts: positions of the last windows shrink to the text's end.
-        view = np.lib.stride_tricks.sliding_window_view(pad, WINNOW)
-        full = np.flatnonzero(np.arange(len(h)) + WINNOW <= np.repeat(starts[1:], np.diff(starts)))
-        for lo in range(0, len(full), 1 << 16):
-            part = full[lo : lo + (1 << 16)]
-            picked[part + view[part].argmin(axis=1)] = True
-        for a, z in zip(starts[:-1], starts[1:], strict=True):
-            if 0 < z - a < WINNOW:
-                picked[a + int(h[a:z].argmin())] = True
-        i = np.flatnonzero(picked)
-        own = pa.array(own[i])
-        yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), b.column("doc_id").take(own), b.column("th").take(own), pa.array(at[i] - w.first[own.to_numpy()])], ["h", "doc_id", "th", "start"])
+        x = _Lines(b.column("text"), SHINGLE)
+        new = _new_ones(x.digest, seen).tolist()
+        sets = [np.unique(x.shingles[x.spans[0][i] : x.spans[1][i]]).view(np.int64) for i in new]
+        yield pa.RecordBatch.from_arrays([pa.array(x.digest[new]), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+
+def _fine_keys(batches):
+    """Rows (key, id, component, shingles) under finer band keys."""
+    for batch in batches:
+        for lo in range(0, len(batch), 4096):
+            b = batch.slice(lo, 4096)
+            lists = b.column("shingles")
+            ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            fine = signature_keys(lists.flatten().to_numpy().view(_U), np.append(0, ends[:-1]), ends, FINE_BANDS, FINE_ROWS, _SALTS[BANDS * ROWS :])
+            keys = mix(fine.view(_U) + mix(b.column("key").to_numpy().view(_U))[:, None]).view(np.int64)
+            each = lambda c: pa.array(np.repeat(b.column(c).to_numpy(), FINE_BANDS))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each("id"), each("component")], ["key", "id", "component"])
+
+
+def _winnowed(w, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed runs of a chunk: hash, document index, first word within the document."""
+    h, at = grams(words, w.first, RUN)
+    if not len(h):
+        return h, at, at
+    own = w.owner()[at]
+    starts = np.searchsorted(own, np.arange(len(w.first)))
+    pad = np.concatenate([h, np.full(WINNOW - 1, np.iinfo(np.uint64).max, _U)])
+    picked = np.zeros(len(h), bool)
+    # A window never crosses texts: positions of the last windows shrink to the text's end.
+    view = np.lib.stride_tricks.sliding_window_view(pad, WINNOW)
+    full = np.flatnonzero(np.arange(len(h)) + WINNOW <= np.repeat(starts[1:], np.diff(starts)))
+    for lo in range(0, len(full), 1 << 16):
+        part = full[lo : lo + (1 << 16)]
+        picked[part + view[part].argmin(axis=1)] = True
+    for a, z in zip(starts[:-1], starts[1:], strict=True):
+        if 0 < z - a < WINNOW:
+            picked[a + int(h[a:z].argmin())] = True
+    i = np.flatnonzero(picked)
+    return h[i], own[i], at[i] - w.first[own[i]]
 
 
 def _around(batches):
@@ -183,24 +206,13 @@ def _around(batches):
         low, high = np.maximum(w.first[own], starts - reach), np.minimum(w.first[own + 1], starts + RUN + reach)
         before = [h[x:y][::-1].tobytes() for x, y in zip(low.tolist(), starts.tolist(), strict=True)]
         after = [h[x:y].tobytes() for x, y in zip((starts + RUN).tolist(), high.tolist(), strict=True)]
-        take = pa.array(own)
-        yield pa.RecordBatch.from_arrays([runs.field("h"), b.column("doc_id").take(take), b.column("th").take(take), runs.field("start"), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["h", "doc_id", "th", "start", "before", "after"])
+        yield pa.RecordBatch.from_arrays([runs.field("h"), b.column("d").take(pa.array(own)), runs.field("start"), runs.field("best"), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["h", "d", "start", "best", "before", "after"])
 
 
 def _steps(t: pa.Table) -> pa.Table:
-    """For words around a run (h, side, words) with the first and last document that have them: each number of words that another document shares, and the first document that does (the longest for each such document)."""
+    """For words around a run (h, side, words) with the first and last document that have them (lo, hi): each number of words that another document shares, and the first document that does (the longest for each such document)."""
     n, reach = len(t), WINNOW - 1
-    ids = pa.chunked_array([*t.column("lo_id").chunks, *t.column("hi_id").chunks], t.schema.field("lo_id").type).combine_chunks()
-    ths = pa.chunked_array([*t.column("lo_th").chunks, *t.column("hi_th").chunks], pa.int64()).combine_chunks()
-    docs = pa.table([ids, ths], names=["id", "th"])
-    order = pa.compute.sort_indices(docs, sort_keys=[("id", "ascending"), ("th", "ascending")], null_placement="at_end")
-    docs = docs.take(order)
-    a, b = docs.slice(1), docs.slice(0, max(0, 2 * n - 1))
-    alike = pa.compute.and_(pa.compute.equal(a["th"], b["th"]), pa.compute.or_(pa.compute.fill_null(pa.compute.equal(a["id"], b["id"]), False), pa.compute.and_(pa.compute.is_null(a["id"]), pa.compute.is_null(b["id"]))))
-    new = np.append(True, ~alike.to_numpy().astype(bool))
-    rank = np.empty(2 * n, np.int64)
-    rank[order.to_numpy()] = np.cumsum(new) - 1
-    lo, hi, place = rank[:n], rank[n:], np.flatnonzero(new)
+    lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
     raw = t.column("words").to_pylist()
     length = np.array([len(x) // 4 for x in raw])
     words = np.frombuffer(b"".join(x.ljust(4 * reach, b"\0") for x in raw), np.uint32).reshape(n, reach)
@@ -219,27 +231,23 @@ def _steps(t: pa.Table) -> pa.Table:
         cls[alive] = part.astype(_U)
         held[alive, k] = least[part]
     row, k = np.nonzero((held[:, :-1] >= 0) & (held[:, :-1] != held[:, 1:]))
-    first = docs.take(pa.array(place[held[row, k]]))
-    steps = pa.StructArray.from_arrays([pa.array(k + 1, pa.int64()), *(c.combine_chunks() for c in first.columns)], ["n", "doc_id", "th"])
+    steps = pa.StructArray.from_arrays([pa.array(k + 1, pa.int64()), pa.array(held[row, k], pa.int64())], ["n", "d"])
     some = np.unique(row)
     lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(row, some), len(row)), pa.int32()), steps)
     kept = t.select(["h", "side", "words"]).take(pa.array(some))
     return pa.table([*kept.columns, lists], names=["h", "side", "words", "steps"])
 
 
-def _extended(docs: DataFrame, hits: DataFrame, together: int = 50_000) -> DataFrame:
-    """hits (h, doc_id, th, start, best, size) with `left` and `right`: the steps of _steps before and after each run."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    at = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start")).alias("at")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "at")
-    texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "at")
-    around = cut(texts.mapInArrow(_around, f"h bigint, doc_id {kind}, th bigint, start bigint, before binary, after binary"), "around")
-    first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("th"))
-    sides = [around.select("h", F.lit(i).alias("side"), F.col(c).alias("words"), first.alias("first")).filter(F.length("words") > 0) for i, c in enumerate(("before", "after"))]
-    each = cut(sides[0].unionByName(sides[1]).groupBy("h", "side", "words").agg(F.min("first").alias("lo"), F.max("first").alias("hi")), "sides")
+def _extended(texts: DataFrame, hits: DataFrame, together: int = 50_000) -> DataFrame:
+    """hits (h, d, start, best) with `left` and `right`: the steps of _steps before and after each run. texts: d, text."""
+    at = hits.groupBy("d").agg(F.collect_set(F.struct("h", "start", "best")).alias("at"))
+    around = cut(texts.join(at, "d").select("text", "d", "at").mapInArrow(_around, "h bigint, d bigint, start bigint, best bigint, before binary, after binary"), "around")
+    sides = [around.select("h", F.lit(i).alias("side"), F.col(c).alias("words"), "d").filter(F.length("words") > 0) for i, c in enumerate(("before", "after"))]
+    each = cut(sides[0].unionByName(sides[1]).groupBy("h", "side", "words").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "sides")
     # Words that share a first word come to one group; others share nothing.
-    each = each.select("h", "side", "words", F.col("lo.doc_id").alias("lo_id"), F.col("lo.th").alias("lo_th"), F.col("hi.doc_id").alias("hi_id"), F.col("hi.th").alias("hi_th"))
     dealt = each.withColumn("g", F.pmod(F.xxhash64("h", "side", F.expr("substring(words, 1, 4)")), F.lit(max(1, each.count() // together))))
-    steps = cut(dealt.groupBy("g").applyInArrow(_steps, f"h bigint, side int, words binary, steps array<struct<n:bigint,doc_id:{kind},th:bigint>>"), "steps")
+    steps = cut(dealt.groupBy("g").applyInArrow(_steps, "h bigint, side int, words binary, steps array<struct<n:bigint,d:bigint>>"), "steps")
+    forget(each)
     side = lambda i, c, name: steps.filter(F.col("side") == i).select("h", F.col("words").alias(c), F.col("steps").alias(name))
     return around.join(side(0, "before", "left"), ["h", "before"], "left").join(side(1, "after", "right"), ["h", "after"], "left").drop("before", "after")
 
@@ -310,69 +318,103 @@ def _joined(pdf):
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _rest(mixed: DataFrame, sets: DataFrame, members: int = 1000, shingles: int = 200_000, together: int = 4000) -> DataFrame:
-    """Links between components that still share a key. A large key's members are dealt to blocks of bounded size, and every two blocks are compared; small keys go together."""
-    sized = mixed.join(sets.select("id", F.size("shingles").alias("n")), "id")
-    w = Window.partitionBy("key")
-    groups = max(1, mixed.count() // together)
-    dealt = sized.withColumn("least", F.min("id").over(w)).withColumn("blocks", F.greatest(F.ceil(F.count("*").over(w) / members), F.ceil(F.sum("n").over(w) / shingles)))
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows (key, id, component; written out) whose key stands in two components, with the key's size and smallest member; written out."""
+    ends = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.min("id").alias("least"), F.count("*").alias("size")).filter("_a <> _b")
+    return cut(labelled.join(cut(ends.select("key", "least", "size"), "mixed"), "key"), "mixed")
+
+
+def _rest(mixed: DataFrame, sets: DataFrame, members: int = 1000, hot: int = 8000, shingles: int = 200_000, together: int = 4000) -> DataFrame:
+    """Links between components that still share a key. A large key's members are dealt to blocks of bounded size, and every two blocks are compared; a key of over `hot` members is split by finer ones first; small keys go together."""
+    large = mixed.filter(F.col("size") > hot).select("key", "id", "component")
+    split = _mixed(cut(large.join(sets, "id").mapInArrow(_fine_keys, "key bigint, id bigint, component bigint").distinct(), "fine"))
+    sized = cut(mixed.filter(F.col("size") <= hot).unionByName(split).join(sets.select("id", F.size("shingles").alias("n")), "id"), "sized")
+    weight = cut(sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / shingles)).alias("blocks")), "blocks")
+    groups = max(1, sized.count() // together)
     # Keys with the same smallest member come to one group, which sees that several bands have the same members.
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("least"), F.lit(groups))))
+    dealt = sized.join(weight, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("g", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("least"), F.lit(groups))))
     dealt = dealt.select("key", "id", "component", "g", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "id", "component", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return dealt.join(sets, "id").groupBy("g", "i", "j").applyInPandas(_joined, "a bigint, b bigint").distinct()
 
 
-def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, most_wanted: int = 1_000_000) -> DataFrame:
-    """Each paragraph: doc_id, th, par (its number), start and n (words), class (representative digest)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    units = docs.mapInArrow(_units(min_words), f"doc_id {kind}, th bigint, par bigint, start bigint, n bigint, digest bigint")
-    # Keys that stand at two paragraphs; the pivot is the one with most copies, which variants are likeliest to be near.
-    w = Window.partitionBy("key")
-    keys = docs.select("text").mapInArrow(_bands(min_words), "key bigint, id bigint, n bigint")
-    both = keys.withColumn("pivot", F.max(F.struct("n", "id")).over(w)["id"]).withColumn("_a", F.min("id").over(w)).withColumn("_b", F.max("id").over(w))
-    shared = cut(both.filter("_a <> _b").select("key", "id", "pivot").distinct(), "bands")
+def _colliding(scan: DataFrame) -> DataFrame:
+    """key, id, pivot of the keys that stand at two paragraphs; the pivot is the one with most copies, which variants are likeliest to be near."""
+    keys = scan.filter(F.col("kind") == BAND).select("key", "id", F.col("copies").alias("n"))
+    ends = cut(keys.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a <> _b").select("key"), "keys")
+    rows = cut(keys.join(ends, "key").groupBy("key", "id").agg(F.max("n").alias("n")), "bands")
+    forget(ends)
+    pivots = cut(rows.groupBy("key").agg(F.max(F.struct("n", "id")).alias("m")).select("key", F.col("m.id").alias("pivot")), "pivots")
+    shared = cut(rows.join(pivots, "key").select("key", "id", "pivot"), "bands")
+    forget(rows, pivots)
+    return shared
+
+
+def paragraph_classes(docs: DataFrame, scan: DataFrame | None = None, most_wanted: int = 1_000_000, hot: int = 8000) -> DataFrame:
+    """Each paragraph of rows of _prepared: doc_id, th, par (its number), start and n (words), class (representative digest). scan: see scanned()."""
+    scan = scanned(docs) if scan is None else scan
+    units = scan.filter(F.col("kind") == PARAGRAPH).select("doc_id", "th", "par", "start", "n", "digest")
+    shared = _colliding(scan)
     wanted = cut(shared.select("id").distinct(), "wanted")
     small = wanted.count() <= most_wanted
-    sets = docs.select("text").mapInArrow(_shingle_sets(min_words), "id bigint, shingles array<bigint>").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+    sets = docs.select("text").mapInArrow(_shingle_sets, "id bigint, shingles array<bigint>").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
     sets = cut(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
     first = cut(components(_stars(shared, sets), "paragraphs"), "paragraphs")
-    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = cut(labelled.withColumn("_a", F.min("component").over(w)).withColumn("_b", F.max("component").over(w)).filter("_a <> _b").select("key", "id", "component"), "mixed")
-    more = cut(_rest(mixed, sets), "links")
+    labelled = cut(shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    mixed = _mixed(labelled)
+    forget(shared, wanted, labelled)
+    more = cut(_rest(mixed, sets, hot=hot), "links")
+    forget(mixed, sets)
     classes = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "paragraphs")
-    classes = classes.select(F.col("node").alias("digest"), F.col("component").alias("_c"))
+    classes = cut(classes.select(F.col("node").alias("digest"), F.col("component").alias("_c")), "classes")
     return units.join(classes, "digest", "left").select("doc_id", "th", "par", "start", "n", F.coalesce("_c", "digest").alias("class"))
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """What repeats: doc_id, th, kind ('paragraph' or 'run'), start and n (words), class, keep_id (document of the kept one), links (others of the class), removed."""
-    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    units = cut(paragraph_classes(docs, min_words), "units")
+def _prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, th (the text's hash, which tells rows of one identifier apart), text."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def paragraph_copies(docs: DataFrame, scan: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Paragraphs (of rows of _prepared) that repeat: doc_id, th, start and n (words), class, keep_id (document of the kept one), links (others of the class), short (under min_words words), removed."""
+    units = cut(paragraph_classes(docs, scan), "units")
     place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("par"), F.col("th"))
-    best = units.groupBy("class").agg(F.min(place).alias("best"), F.count("*").alias("size")).filter("size > 1")
-    pars = units.join(best, "class").select("doc_id", "th", F.lit("paragraph").alias("kind"), "start", "n", "class", F.col("best.doc_id").alias("keep_id"), (F.col("size") - 1).alias("links"), (place != F.col("best")).alias("removed"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = cut(docs.mapInArrow(_runs, f"h bigint, doc_id {kind}, th bigint, start bigint"), "runs")
-    first = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("th"))
-    many = runs.groupBy("h").agg(F.min(first).alias("best"), F.max(first).alias("most"), F.count("*").alias("size")).filter("best <> most")
-    hits = runs.join(many, "h")
-    found = _extended(docs, hits).join(many.select("h", "best", "size"), "h")
+    often = units.groupBy("class").agg(F.count("*").alias("size")).filter("size > 1")
+    some = cut(units.join(cut(often, "often"), "class"), "copies")  # the rest isn't ordered
+    forget(units)
+    best = cut(some.groupBy("class").agg(F.min(place).alias("best")), "best")
+    short = F.col("n") < min_words
+    return some.join(best, "class").select("doc_id", "th", "start", "n", "class", F.col("best.doc_id").alias("keep_id"), (F.col("size") - 1).alias("links"), short.alias("short"), (~short & (place != F.col("best"))).alias("removed"))
+
+
+def run_copies(docs: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Winnowed runs (of rows of _prepared) that stand in several documents, extended: d, h, all (span s, e that others have too), gone (the part of it that an earlier document has, or null) and keeps (numbers of those documents); and the documents' numbers: d, doc_id, th."""
+    runs = scan.filter(F.col("kind") == RUNS).select("h", "doc_id", "th", "start")
+    # Written out, so that the join can split a run that many documents have.
+    who = F.xxhash64("doc_id", "th")
+    many = cut(runs.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter("a <> b").select("h"), "many")
+    hits = cut(runs.join(many, "h"), "hits")
+    forget(many)
+    # Numbers that rise with identifier and text, made by a distributed sort; equal rows have one.
+    ordered = hits.select("doc_id", "th").distinct().orderBy(F.col("doc_id").isNull(), "doc_id", "th")
+    names = cut(ordered.withColumn("d", F.monotonically_increasing_id()), "names")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    few = F.broadcast(names) if names.count() <= MOST_NAMES else names
+    named = cut(hits.join(few, same(hits, names)).select("h", "d", "start"), "hits")
+    forget(hits)
+    best = cut(named.groupBy("h").agg(F.min("d").alias("best")), "best")
+    # Rows that repeat identifier and text say the same twice, which changes no span.
+    found = _extended(docs.join(few, same(docs, names)).select("d", "text"), named.join(best, "h"))
     none = F.array().cast(found.schema["left"].dataType)
-    key = lambda x: F.struct(x["doc_id"].isNull().alias("null"), x["doc_id"].alias("doc_id"), x["th"].alias("th"))
     zero = F.lit(0).cast("long")
     longest = lambda c: F.coalesce(F.array_max(F.transform(F.coalesce(c, none), lambda x: x["n"])), zero)
-    # The longest stretch that an earlier document has, and that document.
-    earlier = lambda c: F.array_max(F.filter(F.coalesce(c, none), lambda x: key(x) < F.col("first")))
-    found = found.withColumn("first", first).select("*", longest("left").alias("l"), longest("right").alias("r"), earlier("left").alias("el"), earlier("right").alias("er"))
-    gone = F.col("first") != F.col("best")
-    span = lambda l, r, keep, removed: F.struct((F.col("start") - l).alias("start"), (l + r + F.lit(RUN)).cast("long").alias("n"), keep.alias("keep_id"), removed.alias("removed"))
-    all_spans = F.array(
-        span(F.col("l"), F.col("r"), F.col("best.doc_id"), F.lit(False)), span(zero, zero, F.col("best.doc_id"), gone),
-        F.when(F.col("el").isNotNull(), span(F.col("el.n"), zero, F.col("el.doc_id"), F.lit(True))), F.when(F.col("er").isNotNull(), span(zero, F.col("er.n"), F.col("er.doc_id"), F.lit(True))),
-    )
-    spans = found.select("doc_id", "th", "h", "size", F.explode(F.array_compact(all_spans)).alias("s")).select("doc_id", "th", F.lit("run").alias("kind"), "s.start", "s.n", F.col("h").alias("class"), "s.keep_id", (F.col("size") - 1).alias("links"), "s.removed")
-    return pars.unionByName(spans)
+    # The longest stretch that an earlier document has, and that document; it has the run too.
+    earlier = lambda c: F.array_max(F.filter(F.coalesce(c, none), lambda x: x["d"] < F.col("d")))
+    found = found.select("*", longest("left").alias("l"), longest("right").alias("r"), earlier("left").alias("el"), earlier("right").alias("er"))
+    span = lambda l, r: F.struct((F.col("start") - l).alias("s"), (F.col("start") + F.lit(RUN) + r).alias("e"))
+    gone = F.when(F.col("d") != F.col("best"), span(F.coalesce("el.n", zero), F.coalesce("er.n", zero)))
+    keeps = F.when(F.col("d") != F.col("best"), F.array_distinct(F.array_compact(F.array("best", "el.d", "er.d"))))
+    return found.select("d", "h", span(F.col("l"), F.col("r")).alias("all"), gone.alias("gone"), keeps.alias("keeps")), names
 
 
 def _covered(spans):
@@ -383,22 +425,45 @@ def _covered(spans):
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_words, n_repeated (words in passages that stand elsewhere too), n_removed (words that go), keep_ids (documents whose copies stay instead), links; one row per input row.
+    """doc_id, n_words, n_repeated (words in passages that stand elsewhere too), n_removed (words that go), keep_ids (documents whose copies stay instead), links, n_short (words in repeated paragraphs of under min_words words, which stay); one row per input row.
 
-    Null and empty texts have no words and repeat nothing. Paragraphs of fewer than min_words words are left alone. Rows
-    that repeat an identifier and text count as one document and each get its result. An empty table gives no rows.
+    Null and empty texts have no words and repeat nothing. Whole texts are read, however long; ties go to the smallest
+    identifier, then the first place; other columns aren't read. Rows that repeat an identifier and text count as one
+    document and each get its result; null identifiers sort last. An empty table gives no rows.
     """
-    found = removals(docs, min_words)
-    span = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
-    per = found.groupBy("doc_id", "th").agg(
-        F.collect_set(span).alias("all"), F.collect_set(F.when(F.col("removed"), span)).alias("gone"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("keep_id")))).alias("keep_ids"), F.sum(F.when(F.col("kind") == "paragraph", F.col("links")).otherwise(0)).alias("links")
-    )
-    per = per.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), _covered(F.col("all")).alias("n_repeated"), _covered(F.col("gone")).alias("n_removed"), "keep_ids", "links")
+    rows = _prepared(docs)
+    scan = scanned(rows)
+    pars = paragraph_copies(rows, scan, min_words).withColumn("span", F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")))
+    per = pars.groupBy("doc_id", "th").agg(
+        F.collect_list(F.when(~F.col("short"), F.col("span"))).alias("all"), F.collect_list(F.when(F.col("removed"), F.col("span"))).alias("gone"), F.collect_list(F.when(F.col("short"), F.col("span"))).alias("short"),
+        F.collect_set(F.when(F.col("removed"), F.col("keep_id"))).alias("keep_ids"), F.sum(F.when(F.col("short"), 0).otherwise(F.col("links"))).alias("links"),
+    )
+    runs, names = run_copies(rows, scan)
+    forget(scan)
+    lists = cut(runs.groupBy("d").agg(F.collect_list("all").alias("r_all"), F.collect_list("gone").alias("r_gone"), F.array_distinct(F.flatten(F.collect_list("keeps"))).alias("keeps")), "run-spans")
+    number = lambda c: names.select(F.col("d").alias(c), F.col("doc_id").alias("k_id"))
+    keeps = lists.select("d", F.explode("keeps").alias("k")).join(number("k"), "k").groupBy("d").agg(F.collect_set("k_id").alias("r_ids"))
+    by_run = lists.drop("keeps").join(keeps, "d", "left").join(names, "d").select(F.col("doc_id").alias("_rid"), F.col("th").alias("_rth"), "r_all", "r_gone", "r_ids")
+    per = per.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "all", "gone", "short", "keep_ids", "links")
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
-    out = base.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    out = base.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").join(by_run, F.col("doc_id").eqNullSafe(F.col("_rid")) & (F.col("th") == F.col("_rth")), "left")
+    both = lambda a, b: F.concat(F.coalesce(a, F.array().cast(out.schema[a].dataType)), F.coalesce(b, F.array().cast(out.schema[a].dataType)))
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_words", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("keep_ids", F.array().cast(per.schema["keep_ids"].dataType)).alias("keep_ids"), F.coalesce("links", zero).alias("links"))
+    return out.select(
+        "doc_id", "n_words", _covered(both("all", "r_all")).alias("n_repeated"), _covered(both("gone", "r_gone")).alias("n_removed"), F.sort_array(F.array_distinct(both("keep_ids", "r_ids"))).alias("keep_ids"),
+        F.coalesce("links", zero).alias("links"), _covered(F.coalesce("short", F.array().cast(out.schema["short"].dataType))).alias("n_short"),
+    )
+
+
+def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, spans (s, e in words, in order) that substring_dedup removes, for clean_text(); rows of which some words go."""
+    rows = _prepared(docs)
+    scan = scanned(rows)
+    pars = paragraph_copies(rows, scan, min_words).filter("removed").select("doc_id", "th", F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")).alias("span"))
+    runs, names = run_copies(rows, scan)
+    more = runs.filter("gone IS NOT NULL").join(names, "d").select("doc_id", "th", F.col("gone").alias("span"))
+    return pars.unionByName(more).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
 def clean_text(text: str, spans: list[tuple[int, int]]) -> str:

@@ -8,6 +8,7 @@ from ..functions.text import content_hash
 from ..operators import assemble, budget, docs, edits, graph, ingest, memory, parse, telemetry
 from ..scratch import work_dir
 from ..sources import files
+from ..streaming import extensions
 from . import registry
 from .engine import Engine, parse_slash
 from .registry import _BLOCKS as _BLOCKS_SQL
@@ -273,3 +274,53 @@ def command_facts(spark, sf):
         ("applychanges nothing", "ok", int(e.dispatch("/applychanges", text="no block")[1]["ok"])),
     ]
     return spark.createDataFrame(rows, "command string, fact string, value bigint")
+
+
+# Streams (extensions).
+
+
+def _drained(stream, out: str, mode: str = "append", save: str = "append") -> None:
+    """Runs a stream over what there is, into a folder."""
+    write = lambda batch, _: batch.write.mode(save).parquet(out)
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(f"""WITH {_REQUESTS} SELECT CAST(event_id * 60 // 86400 AS BIGINT) AS day, model, count(*) AS requests, round(sum(cost), 4) AS cost_usd FROM c GROUP BY ALL""")
+def streaming_costs(spark, sf):
+    """Costs by day of a stream of request lines; each event stands for a minute."""
+    folder, out = work_dir(spark, "stream"), work_dir(spark, "costs")
+    rows = _requests(spark, sf).withColumn("ts", (F.col("event_id") * 60).cast("double")).select("ts", "model", "fresh_in", "cached_in", "out")
+    rows.write.json(folder)
+    _drained(extensions.windowed_costs(extensions.request_stream(spark, folder), "1 day"), out, "complete", "overwrite")
+    day = F.floor(F.unix_seconds("window.start") / 86400).cast("bigint")
+    return spark.read.parquet(out).select(day.alias("day"), "model", "requests", F.round("cost_usd", 4).alias("cost_usd"))
+
+
+@query("SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def streaming_log_once(spark, sf):
+    """Decisions that a stream brings twice are logged once."""
+    folder, out = work_dir(spark, "stream"), work_dir(spark, "log")
+    made = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn")).withColumn("at", F.timestamp_seconds(F.col("conv_id") + 86_400))
+    for _ in range(2):
+        made.write.mode("append").parquet(folder)
+    _drained(extensions.log_once(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(folder), "1000 days"), out)
+    return spark.read.parquet(out).select("conv_id", "last_turn")
+
+
+@query(f"WITH {_DELTA} SELECT path, coalesce(n.h, o.h) AS hash FROM o FULL JOIN n USING (path)")
+def streaming_reindex(spark, sf):
+    """A listing and a later one come as a stream; rows of paths that come again are replaced."""
+    folder, out = work_dir(spark, "stream"), work_dir(spark, "index")
+    new, old = _listings(spark, sf)
+    for part in (old, new):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    seen: list[str] = []
+
+    def upsert(batch, number):
+        state = spark.read.parquet(seen[-1]) if seen else batch.limit(0)
+        merged = state.join(batch.select("path"), "path", "left_anti").unionByName(batch)
+        seen.append(ingest.write_version(merged, out, number))
+
+    files_in = spark.readStream.schema(old.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    extensions.reindex(files_in, upsert, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(old.schema).parquet(seen[-1])

@@ -18,32 +18,37 @@ from .textops import cut, forget
 MOST_BROADCAST = 1_000_000
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def _bounded(df: DataFrame) -> DataFrame:
+    """A table of cut() for a join: broadcast up to a bound, else as it is, so that adaptive execution can split the other side's hot keys."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component (smallest node reachable) for every node of edges (a, b).
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is a combining minimum and an equi-join, and
-    their number grows with the logarithm of the longest path. Each round is written out.
+    their number grows with the logarithm of the longest path. Each round is written out, and so are its minima, so that
+    the star of a giant component, whose centre is one key, can be split.
     """
     edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = cut(edges, name)
     state = None
-    for _ in range(most_rounds):
+    while True:  # ends, since labels only fall and a round that changes no edge is the last
         # Large-star: larger neighbours of u get u's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        near = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name)
+        large = both.filter("b > a").join(_bounded(near), "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = cut(large, name)
         # Small-star: smaller neighbours of u, and u, get the smallest of them.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
+        far = cut(large.groupBy("b").agg(F.min("a").alias("m")), name)
+        small = large.join(_bounded(far), "b")
         out = small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
         before, edges = edges, cut(out.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
-        forget(before)
+        forget(before, near, large, far)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(now) == state:
             break
         state = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), F.col("m").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
@@ -53,7 +58,7 @@ def colliding(keys: DataFrame, name: str) -> DataFrame:
     The smallest and largest id of a key combine before their shuffle, and the join with them can split a hot key.
     """
     ends = cut(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_most")).filter("pivot <> _most").select("key", "pivot"), name)
-    return cut(keys.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "key"), name)
+    return cut(keys.join(_bounded(ends), "key"), name)
 
 
 def spanning(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[tuple[int, int]]:

@@ -46,13 +46,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The row with the smallest doc_id of each component of linked fingerprints; of rows that repeat identifier and text, one."""
     ship(spark)
     keyed, key = _keyed(docs)
-    found = simhash_components(keyed.select("doc_id", "text", F.col(key).alias("key")), keep=("key",))
+    found = cut(simhash_components(keyed.select("doc_id", "text", F.col(key).alias("key")), keep=("key",)), "near")
     order = F.struct(F.col("key.id").isNull().alias("null"), "key")
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("fp"))
-    best = found.groupBy(group.alias("g")).agg(F.min(order).alias("best")).select(F.col("best.key").alias(key))
-    return keyed.join(best, key, "left_semi").dropDuplicates([key]).drop(key)
+    best = cut(found.groupBy(group.alias("g")).agg(F.min(order).alias("best")).select(F.col("best.key").alias(key)), "best")
+    kept = keyed.join(F.broadcast(best) if best.count() <= MOST_BROADCAST else best, key, "left_semi")
+    twice = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")  # only repeated rows need their texts brought together
+    return (kept if twice.isEmpty() else kept.dropDuplicates([key])).drop(key)
 
 
+#: Rows to keep that are broadcast at most; more of them are joined by shuffle.
+MOST_BROADCAST = 500_000
+
 #: A text with so many words of benchmark passages goes, however long it is.
 LEAST_HIT = 8
 

@@ -154,9 +154,17 @@ def _shingle_sets(batches):
     seen: set[int] = set()
     for b in chunks(batches):
         x = _Lines(b.column("text"), SHINGLE)
-        new = _new_ones(x.digest, seen).tolist()
-        sets = [np.unique(x.shingles[x.spans[0][i] : x.spans[1][i]]).view(np.int64) for i in new]
-        yield pa.RecordBatch.from_arrays([pa.array(x.digest[new]), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        new = _new_ones(x.digest, seen)
+        first, sizes = x.spans[0][new], (x.spans[1] - x.spans[0])[new]
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(new)), sizes)
+        values = x.shingles[np.arange(len(owner)) + np.repeat(first - ends + sizes, sizes)]
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
+        once = np.ones(len(values), bool)
+        once[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        edges = np.searchsorted(owner[once], np.arange(len(new) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x.digest[new]), pa.ListArray.from_arrays(pa.array(edges), pa.array(values[once].view(np.int64)))], ["id", "shingles"])
 
 
 def _fine_keys(batches):
@@ -439,6 +447,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.collect_set(F.when(F.col("removed"), F.col("keep_id"))).alias("keep_ids"), F.sum(F.when(F.col("short"), 0).otherwise(F.col("links"))).alias("links"),
     )
     runs, names = run_copies(rows, scan)
+    # A document's paragraphs hold all its words; rows that repeat it have as many first ones.
+    paragraphs = scan.filter(F.col("kind") == PARAGRAPH).groupBy("doc_id", "th").agg((F.sum("n") / F.count_if(F.col("par") == 0)).cast("long").alias("words"))
+    lengths = cut(paragraphs.select(F.col("doc_id").alias("_lid"), F.col("th").alias("_lth"), "words"), "lengths")
     forget(scan)
     lists = cut(runs.groupBy("d").agg(F.collect_list("all").alias("r_all"), F.collect_list("gone").alias("r_gone"), F.array_distinct(F.flatten(F.collect_list("keeps"))).alias("keeps")), "run-spans")
     number = lambda c: names.select(F.col("d").alias(c), F.col("doc_id").alias("k_id"))
@@ -446,12 +457,12 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     by_run = lists.drop("keeps").join(keeps, "d", "left").join(names, "d").select(F.col("doc_id").alias("_rid"), F.col("th").alias("_rth"), "r_all", "r_gone", "r_ids")
     per = per.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "all", "gone", "short", "keep_ids", "links")
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64(text).alias("th")).join(lengths, F.col("doc_id").eqNullSafe(F.col("_lid")) & (F.col("th") == F.col("_lth")), "left")
     out = base.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").join(by_run, F.col("doc_id").eqNullSafe(F.col("_rid")) & (F.col("th") == F.col("_rth")), "left")
     both = lambda a, b: F.concat(F.coalesce(a, F.array().cast(out.schema[a].dataType)), F.coalesce(b, F.array().cast(out.schema[a].dataType)))
     zero = F.lit(0).cast("long")
     return out.select(
-        "doc_id", "n_words", _covered(both("all", "r_all")).alias("n_repeated"), _covered(both("gone", "r_gone")).alias("n_removed"), F.sort_array(F.array_distinct(both("keep_ids", "r_ids"))).alias("keep_ids"),
+        "doc_id", F.coalesce("words", zero).alias("n_words"), _covered(both("all", "r_all")).alias("n_repeated"), _covered(both("gone", "r_gone")).alias("n_removed"), F.sort_array(F.array_distinct(both("keep_ids", "r_ids"))).alias("keep_ids"),
         F.coalesce("links", zero).alias("links"), _covered(F.coalesce("short", F.array().cast(out.schema["short"].dataType))).alias("n_short"),
     )
 

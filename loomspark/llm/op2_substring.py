@@ -39,10 +39,25 @@ RUN, WINNOW = 24, 24
 MOST_NAMES = 500_000
 #: Digests remembered by a task so that it sends a paragraph's keys once.
 SEEN = 500_000
+#: Bytes that go to a Python worker at once, which both sides hold; and bytes of texts that it works on at once, whose arrays take many times as much.
+BATCH, CHUNK = 1 << 22, 1 << 19
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _U = np.uint64
 _SALTS = (mix(np.arange(1, BANDS * ROWS + FINE_BANDS * FINE_ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
+def _cut_python(df: DataFrame, name: str) -> DataFrame:
+    """cut() of a table that Python workers make, which get BATCH bytes at once; a session's own setting holds."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) is not None:
+        return cut(df, name)
+    conf.set(_BATCH_BYTES, str(BATCH))
+    try:
+        return cut(df, name)
+    finally:
+        conf.unset(_BATCH_BYTES)
+
+
 class _Lines:
     """Paragraphs of a chunk: word bounds, owning document, first word within its document, digest, and five-word shingles."""
 
@@ -124,7 +139,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for b in chunks(batches):
+        for b in chunks(batches, CHUNK):
             ids = b.column("doc_id")
 
             def rows(what, size, /, ids=ids, **cols):
@@ -146,13 +161,13 @@ def scanned(docs: DataFrame) -> DataFrame:
                 own = pa.array(own)
                 yield rows(RUNS, len(h), doc_id=ids.take(own), th=b.column("th").take(own), start=pa.array(start), h=pa.array(h.view(np.int64)))
 
-    return cut(docs.mapInArrow(run, ", ".join(f"{c} {t or kind.simpleString()}" for c, _, t in _FOUND)), "scan")
+    return _cut_python(docs.mapInArrow(run, ", ".join(f"{c} {t or kind.simpleString()}" for c, _, t in _FOUND)), "scan")
 
 
 def _shingle_sets(batches):
     """Shingle sets of paragraphs, once for each task and digest."""
     seen: set[int] = set()
-    for b in chunks(batches):
+    for b in chunks(batches, CHUNK):
         x = _Lines(b.column("text"), SHINGLE)
         new = _new_ones(x.digest, seen)
         first, sizes = x.spans[0][new], (x.spans[1] - x.spans[0])[new]
@@ -205,7 +220,7 @@ def _winnowed(w, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _around(batches):
     """Hashes of up to WINNOW - 1 words before (nearest first) and after each run in column `at`."""
     reach = WINNOW - 1
-    for b in chunks(batches):
+    for b in chunks(batches, CHUNK):
         w = words_of(b.column("text"))
         h = (w.hashes() >> _U(32)).astype(np.uint32)
         at = b.column("at")
@@ -246,15 +261,15 @@ def _steps(t: pa.Table) -> pa.Table:
     return pa.table([*kept.columns, lists], names=["h", "side", "words", "steps"])
 
 
-def _extended(texts: DataFrame, hits: DataFrame, together: int = 50_000) -> DataFrame:
+def _extended(texts: DataFrame, hits: DataFrame, together: int = 16_000) -> DataFrame:
     """hits (h, d, start, best) with `left` and `right`: the steps of _steps before and after each run. texts: d, text."""
     at = hits.groupBy("d").agg(F.collect_set(F.struct("h", "start", "best")).alias("at"))
-    around = cut(texts.join(at, "d").select("text", "d", "at").mapInArrow(_around, "h bigint, d bigint, start bigint, best bigint, before binary, after binary"), "around")
+    around = _cut_python(texts.join(at, "d").select("text", "d", "at").mapInArrow(_around, "h bigint, d bigint, start bigint, best bigint, before binary, after binary"), "around")
     sides = [around.select("h", F.lit(i).alias("side"), F.col(c).alias("words"), "d").filter(F.length("words") > 0) for i, c in enumerate(("before", "after"))]
     each = cut(sides[0].unionByName(sides[1]).groupBy("h", "side", "words").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "sides")
     # Words that share a first word come to one group; others share nothing.
     dealt = each.withColumn("g", F.pmod(F.xxhash64("h", "side", F.expr("substring(words, 1, 4)")), F.lit(max(1, each.count() // together))))
-    steps = cut(dealt.groupBy("g").applyInArrow(_steps, "h bigint, side int, words binary, steps array<struct<n:bigint,d:bigint>>"), "steps")
+    steps = _cut_python(dealt.groupBy("g").applyInArrow(_steps, "h bigint, side int, words binary, steps array<struct<n:bigint,d:bigint>>"), "steps")
     forget(each)
     side = lambda i, c, name: steps.filter(F.col("side") == i).select("h", F.col("words").alias(c), F.col("steps").alias(name))
     return around.join(side(0, "before", "left"), ["h", "before"], "left").join(side(1, "after", "right"), ["h", "after"], "left").drop("before", "after")
@@ -335,7 +350,7 @@ def _mixed(labelled: DataFrame) -> DataFrame:
 def _rest(mixed: DataFrame, sets: DataFrame, members: int = 1000, hot: int = 8000, shingles: int = 200_000, together: int = 4000) -> DataFrame:
     """Links between components that still share a key. A large key's members are dealt to blocks of bounded size, and every two blocks are compared; a key of over `hot` members is split by finer ones first; small keys go together."""
     large = mixed.filter(F.col("size") > hot).select("key", "id", "component")
-    split = _mixed(cut(large.join(sets, "id").mapInArrow(_fine_keys, "key bigint, id bigint, component bigint").distinct(), "fine"))
+    split = _mixed(_cut_python(large.join(sets, "id").mapInArrow(_fine_keys, "key bigint, id bigint, component bigint").distinct(), "fine"))
     sized = cut(mixed.filter(F.col("size") <= hot).unionByName(split).join(sets.select("id", F.size("shingles").alias("n")), "id"), "sized")
     weight = cut(sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / shingles)).alias("blocks")), "blocks")
     groups = max(1, sized.count() // together)
@@ -366,12 +381,12 @@ def paragraph_classes(docs: DataFrame, scan: DataFrame | None = None, most_wante
     wanted = cut(shared.select("id").distinct(), "wanted")
     small = wanted.count() <= most_wanted
     sets = docs.select("text").mapInArrow(_shingle_sets, "id bigint, shingles array<bigint>").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-    sets = cut(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    sets = _cut_python(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
     first = cut(components(_stars(shared, sets), "paragraphs"), "paragraphs")
     labelled = cut(shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = _mixed(labelled)
     forget(shared, wanted, labelled)
-    more = cut(_rest(mixed, sets, hot=hot), "links")
+    more = _cut_python(_rest(mixed, sets, hot=hot), "links")
     forget(mixed, sets)
     classes = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "paragraphs")
     classes = cut(classes.select(F.col("node").alias("digest"), F.col("component").alias("_c")), "classes")

@@ -192,6 +192,31 @@ def test_substring_marks_whole_passages(spark):
     assert got == {0: (60, 0, []), 1: (76, 60, [0]), 2: (76, 76, got[2][2]), 3: (80, 0, []), 4: (80, 80, [3])} and 1 in got[2][2]
 
 
+def test_substring_workers_get_bounded_batches(spark):
+    """10,000 texts of 3 KB make one Arrow batch of 30 MB unless its bytes are bounded; the session keeps its setting."""
+    df = spark.range(10_000, numPartitions=1).selectExpr("id", "repeat('abcde ', 500) text")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(op2_substring._BATCH_BYTES)
+    got = op2_substring._cut_python(df.mapInArrow(sizes, "rows bigint, bytes bigint"), "sizes").collect()
+    assert sum(r["rows"] for r in got) == 10_000 and max(r["bytes"] for r in got) < 1.1 * op2_substring.BATCH
+    assert spark.conf.get(op2_substring._BATCH_BYTES) == before
+
+
+def test_substring_memory_of_a_batch():
+    """Numpy's arrays for a batch of 12 MB of texts take several times a chunk's bytes, whatever the batch's."""
+    import tracemalloc
+
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(300)) + f"\n{i}" for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    textops._powers(1)
+    tracemalloc.start()
+    n = sum(len(b) for b in op2_substring._shingle_sets([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 5000 and most < 80e6, (n, most)
+
+
 def test_substring_edges(edge_docs, no_docs):
     assert op2_substring.substring_dedup(edge_docs).count() == edge_docs.count()
     assert op2_substring.substring_dedup(no_docs).count() == 0

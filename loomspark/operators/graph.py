@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
@@ -10,13 +11,17 @@ from ..scratch import cut, forget
 from .budget import prefix_fit
 
 DAMPING, ROUNDS = 0.85, 40
-#: Graphs of at most so many edges are ranked in one task each.
+#: Graphs of at most so many nodes and edges are ranked in one task each.
 ONE_TASK_EDGES = 2_000_000
+#: Of larger ones, a block holds about so many; and so many rounds go into one job.
+BLOCK, WRITE_ROUNDS = 4_000_000, 8
+_BLOCKS = "k int, kind int, other int, a binary, b binary, c binary"
+_SENT = "k int, other int, lost double, sums binary"
 
 
 def known_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct src, dst of calls between known names."""
-    names = names.select("name").distinct()
+    names = names.select("name").distinct().hint("merge")
     calls = edges.filter("kind = 'calls'").select("src", "dst")
     return calls.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst").distinct()
 
@@ -35,21 +40,24 @@ def seed_weights(symbols: DataFrame, focus_files=(), mentioned=(), recent_files=
 def pagerank(nodes: DataFrame, adjacency: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """node, score. Teleport follows the seeds' shares, else it is uniform; mass of nodes without edges goes where teleport goes.
 
-    Edges count if both their ends are listed. A graph of at most one_task_edges edges is one task's arrays; a larger one is
-    iterated by joins, written out each round. An empty graph gives no rows.
+    Edges count if both their ends are listed. A graph of at most one_task_edges nodes and edges is one task's arrays; a larger
+    one is iterated by blocks. An empty graph gives no rows. Joins are merged, not broadcast: a table's size on disk or by
+    estimate tells little of how many names it holds.
     """
-    end = lambda c: nodes.select(F.col("node").alias(c))
+    end = lambda c: nodes.select(F.col("node").alias(c)).hint("merge")
+    nodes = cut(nodes.select("node"), "nodes")
     edges = cut(adjacency.select("src", "dst").join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst"), "edges")
     n = nodes.count()
     teleport = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("t"))
     if seeds is not None:
-        known = seeds.join(nodes, "node", "left_semi")
+        known = seeds.join(nodes.hint("merge"), "node", "left_semi")
         total = known.agg(F.sum("weight")).first()[0]
         if total:
-            teleport = nodes.join(known, "node", "left").select("node", (F.coalesce("weight", F.lit(0.0)) / total).alias("t"))
-    if n + edges.count() <= one_task_edges:
+            teleport = nodes.join(known.hint("merge"), "node", "left").select("node", (F.coalesce("weight", F.lit(0.0)) / total).alias("t"))
+    m = edges.count()
+    if n + m <= one_task_edges:
         return _in_one_task(teleport, edges, damping, rounds)
-    return _by_joins(teleport, edges, damping, rounds, n)
+    return _by_blocks(teleport, edges, damping, rounds, n, m)
 
 
 def _in_one_task(teleport: DataFrame, adjacency: DataFrame, damping: float, rounds: int) -> DataFrame:
@@ -73,20 +81,116 @@ def _in_one_task(teleport: DataFrame, adjacency: DataFrame, damping: float, roun
     return one(teleport).cogroup(one(adjacency.select("src", "dst"))).applyInPandas(run, f"node {kind}, score double")
 
 
-def _by_joins(teleport: DataFrame, edges: DataFrame, damping: float, rounds: int, n: int) -> DataFrame:
-    degree = edges.groupBy("src").agg(F.count("*").alias("d"))
-    fixed = cut(teleport.join(degree, teleport.node == degree.src, "left").select("node", "t", F.coalesce("d", F.lit(0)).alias("d")), "fixed")
-    rank, written = fixed.select("node", F.lit(1.0 / max(1, n)).alias("score")), None
-    for _ in range(rounds):
-        now = rank.join(fixed, "node")
-        dangling = now.agg(F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("score"))), F.lit(0.0))).first()[0]
-        share = now.filter("d > 0").select(F.col("node").alias("src"), (F.col("score") / F.col("d")).alias("share"))
-        got = edges.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        rank = cut(fixed.join(got, "node", "left").select("node", ((1 - damping) * F.col("t") + damping * (dangling * F.col("t") + F.coalesce("got", F.lit(0.0)))).alias("score")), "rank")
-        if written is not None:
-            forget(written)
-        written = rank
-    return rank
+def _by_blocks(teleport: DataFrame, edges: DataFrame, damping: float, rounds: int, n: int, m: int) -> DataFrame:
+    """Nodes are dealt to blocks by hash. A block keeps its nodes, their edges and where the others' sums belong as arrays on disk, for all
+    rounds; what moves in a round is, for each pair of blocks, one sum for each node of the one that the other calls, without keys.
+    Rounds are written out every WRITE_ROUNDS.
+    """
+    spark = teleport.sparkSession
+    count = max(spark.sparkContext.defaultParallelism, -(-(n + m) // BLOCK))
+    block = F.pmod(F.hash("node"), F.lit(count))
+    placed = teleport.withColumn("block", block).withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1)
+    placed = cut(placed, "placed")
+    place = lambda c, b, at: placed.select(F.col("node").alias(c), F.col("block").alias(b), F.col("at").alias(at)).hint("merge")
+    links = edges.join(place("src", "k", "src_at"), "src").join(place("dst", "to", "dst_at"), "dst").select("k", "src_at", "to", "dst_at")
+    shares = placed.select(F.col("block").alias("k"), "at", "t").groupBy("k").applyInArrow(_teleport_block, _BLOCKS)
+    blocks = cut(links.groupBy("k").applyInArrow(_link_block, _BLOCKS).unionByName(shares), "blocks")
+    fixed = blocks.rdd.map(lambda r: (r["k"], (r["kind"], r["other"], bytes(r["a"]), bytes(r["b"]), bytes(r["c"])))).partitionBy(count, _same).persist(StorageLevel.DISK_ONLY)
+    spare, sent, written = [placed, blocks], None, None
+    try:
+        for i in range(rounds + 1):
+            step = _round(n, count, damping, first=i == 0, last=i == rounds)
+            sent = (fixed if sent is None else fixed.union(sent.partitionBy(count, _same))).mapPartitions(step)
+            if i == rounds or i % WRITE_ROUNDS == WRITE_ROUNDS - 1:
+                now = cut(spark.createDataFrame(sent.map(lambda x: (x[0], *x[1])), _SENT, verifySchema=False), "rank")
+                if written is not None:
+                    forget(written)
+                sent, written = now.rdd.map(lambda r: (r["k"], (r["other"], r["lost"], bytes(r["sums"])))), now
+    finally:
+        fixed.unpersist()
+    scores = written.select("k", "sums").mapInArrow(_unpacked, "block int, at int, score double")
+    out = cut(placed.hint("merge").join(scores, ["block", "at"]).select("node", "score"), "scores")
+    forget(*spare, written)
+    return out
+
+
+def _same(k: int) -> int:
+    return k
+
+
+def _teleport_block(table):
+    import numpy as np
+    import pyarrow as pa
+
+    t = np.zeros(len(table))
+    t[table["at"].to_numpy()] = table["t"].to_numpy()
+    return pa.table({"k": pa.array([table["k"][0].as_py()], pa.int32()), "kind": pa.array([0], pa.int32()), "other": pa.array([0], pa.int32()), "a": [t.tobytes()], "b": [b""], "c": [b""]})
+
+
+def _link_block(table):
+    """A block's edges: for each its source's place and its slot among the sums that leave the block; for each other block, the places that its sums are for."""
+    import numpy as np
+    import pyarrow as pa
+
+    k = table["k"][0].as_py()
+    ends, slot = np.unique(table["to"].to_numpy().astype(np.int64) << 32 | table["dst_at"].to_numpy(), return_inverse=True)
+    to, begin, size = np.unique(ends >> 32, return_index=True, return_counts=True)
+    rows = [(k, 1, k, table["src_at"].to_numpy().astype(np.int32).tobytes(), slot.astype(np.int32).tobytes(), np.stack([to, begin, size]).astype(np.int64).tobytes())]
+    rows += [(q, 2, k, (ends[b : b + s] & 0xFFFFFFFF).astype(np.int32).tobytes(), b"", b"") for q, b, s in zip(to.tolist(), begin.tolist(), size.tolist(), strict=True)]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 3
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(["k", "kind", "other", "a", "b", "c"], zip(*rows, strict=True), kinds, strict=True)})
+
+
+def _round(n: int, count: int, damping: float, first: bool, last: bool):
+    """From a block's arrays and the others' sums its ranks; of those the sums for the others, or in the last round the ranks."""
+
+    def run(rows):
+        import numpy as np
+
+        t, links, places, came = None, None, {}, []
+        for k, x in rows:
+            if len(x) == 3:
+                came.append(x)
+            elif x[0] == 0:
+                own, t = k, np.frombuffer(x[2])
+            elif x[0] == 1:
+                links = np.frombuffer(x[2], np.int32), np.frombuffer(x[3], np.int32), np.frombuffer(x[4], np.int64).reshape(3, -1)
+            else:
+                places[x[1]] = np.frombuffer(x[2], np.int32)
+        if t is None:
+            return
+        rank = np.full(len(t), 1.0 / n)
+        if not first:
+            came.sort(key=lambda x: x[0])  # sums don't hang on the order of arrival
+            got = np.zeros(len(t))
+            for other, _, sums in came:
+                if sums:
+                    got[places[other]] += np.frombuffer(sums)
+            rank = (1 - damping) * t + damping * (sum(x[1] for x in came if x[1]) * t + got)
+        if last:
+            yield own, (own, 0.0, rank.tobytes())
+            return
+        src, slot, (to, begin, size) = links if links else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((3, 0), np.int64))
+        degree = np.bincount(src, minlength=len(t))
+        sums = np.bincount(slot, (rank / np.maximum(degree, 1))[src], int(size.sum()))
+        lost = float(rank[degree == 0].sum())
+        each = {q: sums[b : b + s].tobytes() for q, b, s in zip(to.tolist(), begin.tolist(), size.tolist(), strict=True)}
+        for q in range(count) if lost else each:
+            yield q, (own, lost, each.get(q, b""))
+
+    return run
+
+
+def _unpacked(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for k, sums in zip(batch["k"].to_pylist(), batch["sums"].to_pylist(), strict=True):
+            score = np.frombuffer(sums)
+            for a in range(0, len(score), 100_000):
+                part = score[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part)], names=["block", "at", "score"])
 
 
 def representatives(symbols: DataFrame, prefer: str = "definition") -> DataFrame:
@@ -101,7 +205,7 @@ def rank_symbols(symbols: DataFrame, edges: DataFrame, focus_files=(), mentioned
     nodes = symbols.select(F.col("name").alias("node")).distinct()
     seeds = seed_weights(symbols, focus_files, mentioned, recent_files).withColumnRenamed("name", "node") if focus_files or mentioned or recent_files else None
     scores = pagerank(nodes, known_edges(edges, symbols), seeds)
-    return representatives(symbols, prefer).join(scores.withColumnRenamed("node", "name"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return representatives(symbols, prefer).join(scores.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 HEADER = "# Code by rank"

@@ -377,3 +377,18 @@ def test_parser_and_counter_hooks(spark):
     assert {r["layer"]: r["tokens"] for r in blocks.collect()}[6] == 2 and blocks.filter("layer = 2").first()["text"].startswith("a b c\n")
     reports = spark.createDataFrame([(1, "over"), (2, None)], "conv_id int, note string")
     assert assemble.notes(layers, small, reports, counter=words).collect()[0]["notes"] == ["repo_map clipped to 4 tokens", "over"]
+
+
+def test_pagerank_blocks(spark, monkeypatch):
+    """Many rounds over several blocks equal the one task's arrays; rounds neither join nor write the edges again."""
+    rnd = random.Random(4)
+    names = [f"n{i}" for i in range(300)]
+    links = sorted({(rnd.choice(names[:200]), rnd.choice([*names, "n0"])) for _ in range(900)} | {(a, "n1") for a in names[:200]})
+    nodes, adj = spark.createDataFrame([(x,) for x in names], "node string"), spark.createDataFrame(links, "src string, dst string")
+    seeds = spark.createDataFrame([("n3", 2.0), ("n250", 1.0)], "node string, weight double")
+    written, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: (written.append((name, df)), keep(df, name))[1])
+    one, many = ({r["node"]: r["score"] for r in graph.pagerank(nodes, adj, seeds, rounds=20, one_task_edges=most).collect()} for most in (10**6, 0))
+    assert one.keys() == many.keys() and all(abs(one[x] - many[x]) < 1e-12 for x in one)
+    rounds = [df for name, df in written if name == "rank"]
+    assert 0 < len(rounds) <= 4 and not any("Join" in df._jdf.queryExecution().toString() for df in rounds)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import indent, is_blank, split_lines, strip
+from ..functions.text import indent, split_lines, strip
 from ..sources.files import language, suffix
 
 # The patterns that name a line's kind, as whole-line prefixes with Unicode words.
@@ -25,53 +26,71 @@ NOT_CALLS = ["if", "for", "while", "print", "len", "range"]
 MODULE = "<module>"
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """file, n (from 1), line, indent, python, kind, name, owner of each line of files (path, text)."""
-    each = files.select(F.col("path").alias("file"), (suffix(F.col("path")) == ".py").alias("python"), F.posexplode(split_lines(F.col("text"))).alias("p", "line"))
-    each = each.select("file", (F.col("p") + 1).alias("n"), "line", indent(F.col("line")).alias("indent"), "python")
-    hit = lambda p: F.col("line").rlike(p)
-    first = lambda p, g: F.regexp_extract("line", p, g)
-    variable = (F.col("indent") == 0) & hit(PY_VARIABLE) & ~F.col("line").startswith("def") & ~F.col("line").startswith("class")
-    py_kind = F.when(hit(PY_CLASS), "class").when(hit(PY_DEF), F.when(F.col("indent") > 0, "method").otherwise("function")).when(hit(PY_IMPORT), "import").when(variable, "variable")
-    py_name = F.when(hit(PY_CLASS), first(PY_CLASS, 2)).when(hit(PY_DEF), first(PY_DEF, 2)).when(hit(PY_IMPORT), F.lit(None)).when(variable, first(PY_VARIABLE, 1))
-    kind = F.when(hit(OTHER_CLASS), "class").when(hit(OTHER_FUNCTION) | hit(OTHER_CONSTANT), "function").when(hit(OTHER_IMPORT), "import")
-    name = F.when(hit(OTHER_CLASS), first(OTHER_CLASS, 1)).when(hit(OTHER_FUNCTION), first(OTHER_FUNCTION, 1)).when(hit(OTHER_CONSTANT), first(OTHER_CONSTANT, 1))
-    each = each.withColumn("kind", F.when(F.col("python"), py_kind).otherwise(kind)).withColumn("name", F.when(F.col("python"), py_name).otherwise(name))
-    # The owner: the last class, until a def no deeper than that class comes.
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    is_class = F.col("python") & (F.col("kind") == "class")
-    each = each.withColumn("class_indent", F.coalesce(F.last(F.when(is_class, F.col("indent")), ignorenulls=True).over(w), F.lit(-1)))
-    reset = F.col("kind").isin("method", "function") & (F.col("indent") <= F.col("class_indent"))
-    state = F.when(is_class, F.col("name")).when(F.col("python") & reset, F.lit(MODULE))
-    return each.withColumn("owner", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(MODULE))).drop("class_indent")
-
-
-def _ends(files: pd.Series) -> pd.Series:
-    """For each file's lines in order (n, depth, null where blank; head): the last line of each head's block. One pass with a stack of open heads, whose depths grow."""
-
-    def one(rows):
-        open_, out = [], []
-        for r in rows:
-            if r["depth"] is not None:
-                while open_ and open_[-1]["depth"] >= r["depth"]:
-                    out.append({"n": open_.pop()["n"], "end_line": r["n"] - 1})
-            if r["head"]:
-                open_.append(r)
-        return out + [{"n": x["n"], "end_line": rows[-1]["n"]} for x in open_]
-
-    return files.map(one)
+def lines(files: DataFrame, bodies: bool = False) -> DataFrame:
+    """file, n (from 1), line, indent, python, kind, name, owner, end_line of each line of files (path, text); with bodies the named lines' `body`.
 
+    end_line is that of the block of a Python class, function or method, else null. A file's lines are passed within its row: nothing is
+    shuffled, and a task's memory hangs on its largest file.
+    """
+    each = files.select(F.col("path").alias("file"), (suffix(F.col("path")) == ".py").alias("python"), F.transform(split_lines(F.col("text")), lambda x: F.struct(x.alias("line"), indent(x).alias("indent"))).alias("rows"))
+    each = each.withColumn("rows", F.transform("rows", lambda x: x.withField("kind", _kind(x["line"], x["indent"]))))
+    each = each.withColumn("rows", F.transform("rows", lambda x: x.withField("name", _name(x["line"], x["kind"]))))
+    mark = F.when(F.col("python"), F.lit(1)).otherwise(F.lit(0))
+    code = lambda x: F.when(x["indent"] == F.length(x["line"]), -1).otherwise(4 * x["indent"] + mark * F.when(x["kind"] == "class", 1).when(x["kind"].isin("function", "method"), 2).otherwise(0))
+    each = each.withColumn("seen", F.arrow_udf(_passed, "array<struct<owner:int,end_line:int>>")(F.transform("rows", code)))
+    whole = lambda x, i: F.struct(
+        x["line"].alias("line"), x["indent"].alias("indent"), x["kind"].alias("kind"), x["name"].alias("name"),
+        F.coalesce(F.get("rows", F.get("seen", i)["owner"] - 1)["name"], F.lit(MODULE)).alias("owner"), F.get("seen", i)["end_line"].alias("end_line"),
+        *([F.when(x["name"].isNotNull(), F.array_join(F.transform(F.slice("rows", i + 1, F.coalesce(F.get("seen", i)["end_line"], i + 1) - i), lambda y: y["line"]), "\n")).alias("body")] if bodies else []),
+    )
+    each = each.select("file", "python", F.posexplode(F.transform("rows", whole)).alias("p", "e"))
+    return each.select("file", (F.col("p") + 1).alias("n"), "e.line", "e.indent", "python", "e.kind", "e.name", "e.owner", "e.end_line", *(["e.body"] if bodies else []))
+
+
+def _kind(line: Column, depth: Column) -> Column:
+    variable = (depth == 0) & line.rlike(PY_VARIABLE) & ~line.startswith("def") & ~line.startswith("class")
+    python = F.when(line.rlike(PY_CLASS), "class").when(line.rlike(PY_DEF), F.when(depth > 0, "method").otherwise("function")).when(line.rlike(PY_IMPORT), "import").when(variable, "variable")
+    other = F.when(line.rlike(OTHER_CLASS), "class").when(line.rlike(OTHER_FUNCTION) | line.rlike(OTHER_CONSTANT), "function").when(line.rlike(OTHER_IMPORT), "import")
+    return F.when(F.col("python"), python).otherwise(other)
+
+
+def _name(line: Column, kind: Column) -> Column:
+    first = lambda p, g: F.regexp_extract(line, p, g)
+    python = F.when(kind == "class", first(PY_CLASS, 2)).when(kind.isin("method", "function"), first(PY_DEF, 2)).when(kind == "variable", first(PY_VARIABLE, 1))
+    function = F.when(line.rlike(OTHER_FUNCTION), first(OTHER_FUNCTION, 1)).otherwise(first(OTHER_CONSTANT, 1))
+    return F.when(F.col("python"), python).otherwise(F.when(kind == "class", first(OTHER_CLASS, 1)).when(kind == "function", function))
+
+
+def _passed(files: pa.Array) -> pa.Array:
+    """For each file's lines in order (-1 where blank, else four times the depth, and 1 for a class, 2 for a def): the line of the owning class, 0 without
+    one, and the last line of each head's block. The owner is the last class, until a def no deeper than that class comes. One pass with a stack of open heads, whose depths grow.
+    """
+    owners, ends = [], []
+    for rows in files:
+        owner, class_depth, open_, end = 0, -1, [], [None] * len(rows)
+        for n, x in enumerate(rows.values.to_pylist(), 1):
+            if x >= 0:
+                depth, kind = x >> 2, x & 3
+                while open_ and open_[-1][0] >= depth:
+                    end[open_.pop()[1] - 1] = n - 1
+                if kind:
+                    open_.append((depth, n))
+                if kind == 1:
+                    owner, class_depth = n, depth
+                elif kind == 2 and depth <= class_depth:
+                    owner = 0
+            owners.append(owner)
+        for _, n in open_:
+            end[n - 1] = len(end)
+        ends += end
+    sizes = pc.fill_null(pc.list_value_length(files), 0).to_numpy(zero_copy_only=False)
+    places = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(places, pa.StructArray.from_arrays([pa.array(owners, pa.int32()), pa.array(ends, pa.int32())], ["owner", "end_line"]))
 
-def block_ends(numbered: DataFrame) -> DataFrame:
-    """file, n, end_line of Python classes, functions and methods: the line before the first later one, not blank, that is no deeper.
 
-    A file's lines come to one task as narrow rows, and are passed once.
-    """
-    depth = F.when(~is_blank(F.col("line")), F.col("indent"))
-    row = F.struct("n", depth.alias("depth"), F.coalesce(F.col("kind").isin("class", "function", "method"), F.lit(False)).alias("head"))
-    files = numbered.filter("python").groupBy("file").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count_if(row["head"]).alias("heads")).filter("heads > 0")
-    ends = F.pandas_udf(_ends, "array<struct<n:int,end_line:int>>")
-    return files.select("file", F.explode(ends("rows")).alias("e")).select("file", "e.n", "e.end_line")
+def block_ends(numbered: DataFrame) -> DataFrame:
+    """file, n, end_line of Python classes, functions and methods: the line before the first later one, not blank, that is no deeper."""
+    return numbered.filter("end_line IS NOT NULL").select("file", "n", "end_line")
 
 
 def parse(files: DataFrame, parsers: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -87,10 +106,10 @@ def parse(files: DataFrame, parsers: dict[str, Callable[[DataFrame], tuple[DataF
 
 
 def symbols(numbered: DataFrame) -> DataFrame:
-    """file, name, kind, start_line, end_line, signature."""
+    """file, name, kind, start_line, end_line, signature, and body if the lines have it."""
     found = numbered.filter(F.col("name").isNotNull())
     signature = F.when(F.col("kind") == "variable", F.substring(strip(F.col("line")), 1, 80)).otherwise(strip(F.col("line")))
-    return found.join(block_ends(numbered), ["file", "n"], "left").select("file", "name", "kind", F.col("n").alias("start_line"), F.coalesce("end_line", "n").alias("end_line"), signature.alias("signature"))
+    return found.select("file", "name", "kind", F.col("n").alias("start_line"), F.coalesce("end_line", "n").alias("end_line"), signature.alias("signature"), *(["body"] if "body" in numbered.columns else []))
 
 
 def edges(numbered: DataFrame) -> DataFrame:
@@ -106,8 +125,8 @@ def find_symbol(table: DataFrame, name: str) -> DataFrame:
 
 
 def explain(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Symbols with `body`: their lines, or the signature where the file is missing."""
+    """Stored symbols with `body`: their lines, or the signature where the file is missing. Where the files are parsed anyway, lines(files, bodies=True) gives it without a join."""
     from ..functions.text import slice_lines
 
     body: Column = slice_lines(F.col("text"), F.col("start_line"), F.col("end_line"))
-    return found.join(files.select(F.col("path").alias("file"), "text"), "file", "left").withColumn("body", F.coalesce(body, F.col("signature"))).drop("text")
+    return found.join(files.select(F.col("path").alias("file"), "text").hint("merge"), "file", "left").withColumn("body", F.coalesce(body, F.col("signature"))).drop("text")

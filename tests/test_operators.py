@@ -392,3 +392,17 @@ def test_pagerank_blocks(spark, monkeypatch):
     assert one.keys() == many.keys() and all(abs(one[x] - many[x]) < 1e-12 for x in one)
     rounds = [df for name, df in written if name == "rank"]
     assert 0 < len(rounds) <= 4 and not any("Join" in df._jdf.queryExecution().toString() for df in rounds)
+
+
+def test_parse_within_rows(spark):
+    """Files are parsed without a shuffle, a window or a join; rows of one path don't mix; bodies equal the joined ones."""
+    rows = [("a.py", PY), ("a.py", "def f():\n    g()\n"), ("b.js", "export class K {\n"), ("c.py", "")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    found = parse.symbols(parse.lines(df, bodies=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "Join"))
+    assert ("f", 1, 2) in {(r["name"], r["start_line"], r["end_line"]) for r in found.collect()}
+    once = df.limit(1).unionByName(df.filter("path <> 'a.py'"))
+    cols = ["file", "name", "start_line", "body"]
+    want = parse.explain(parse.symbols(parse.lines(once)), once).select(cols).collect()
+    assert want and sorted(map(tuple, want)) == sorted(map(tuple, parse.symbols(parse.lines(once, bodies=True)).select(cols).collect()))

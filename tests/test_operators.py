@@ -406,3 +406,13 @@ def test_parse_within_rows(spark):
     cols = ["file", "name", "start_line", "body"]
     want = parse.explain(parse.symbols(parse.lines(once)), once).select(cols).collect()
     assert want and sorted(map(tuple, want)) == sorted(map(tuple, parse.symbols(parse.lines(once, bodies=True)).select(cols).collect()))
+
+
+def test_ranking_broadcasts_no_names(spark):
+    """Sizes on disk tell little of how many names there are, so that joins of names are merged."""
+    symbols = spark.createDataFrame([("a", "function", "f.py", 1), ("b", "class", "f.py", 3)], "name string, kind string, file string, start_line int")
+    edges = spark.createDataFrame([("b", "a", "calls")], "src string, dst string, kind string")
+    ranked = graph.rank_symbols(symbols, edges, mentioned=["a"])
+    for df in (graph.known_edges(edges, symbols), ranked):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["name"] for r in ranked.orderBy(F.desc("score")).collect()] == ["a", "b"]

@@ -22,7 +22,7 @@ def counters(changes: DataFrame) -> DataFrame:
 def replace_rows(stored: DataFrame, fresh: DataFrame, changes: DataFrame, key: str = "file") -> DataFrame:
     """The stored rows without those of changed or removed paths, and the fresh rows: upsert, replacement, prune and cascade in one anti-join."""
     gone = changes.filter("state <> 'skipped'").select(F.col("path").alias(key))
-    return stored.join(gone, key, "left_anti").unionByName(fresh)
+    return stored.join(gone.hint("merge"), key, "left_anti").unionByName(fresh)
 
 
 def write_version(df: DataFrame, table: str, version: int) -> str:

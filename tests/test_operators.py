@@ -416,3 +416,13 @@ def test_ranking_broadcasts_no_names(spark):
     for df in (graph.known_edges(edges, symbols), ranked):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r["name"] for r in ranked.orderBy(F.desc("score")).collect()] == ["a", "b"]
+
+
+def test_findcode_makes_its_text_when_read(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"m{k}.py").write_text(f"def run():\n    return {k}\n")
+    e = Engine(spark, str(tmp_path))
+    e.index()
+    text_, facts = e.dispatch("/findcode run")
+    assert facts == {"kind": "symbol", "count": 3} and "data" not in vars(text_)
+    assert str(text_) == "\n\n".join(f"## run (function, m{k}.py line 1)\n```\ndef run():\n    return {k}\n```" for k in range(3))

@@ -312,15 +312,14 @@ def streaming_reindex(spark, sf):
     """A listing and a later one come as a stream; rows of paths that come again are replaced."""
     folder, out = work_dir(spark, "stream"), work_dir(spark, "index")
     new, old = _listings(spark, sf)
-    for part in (old, new):
-        part.coalesce(1).write.mode("append").parquet(folder)
     seen: list[str] = []
 
     def upsert(batch, number):
         state = spark.read.parquet(seen[-1]) if seen else batch.limit(0)
-        merged = state.join(batch.select("path"), "path", "left_anti").unionByName(batch)
+        merged = state.join(batch.select("path").hint("merge"), "path", "left_anti").unionByName(batch)
         seen.append(ingest.write_version(merged, out, number))
 
-    files_in = spark.readStream.schema(old.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    extensions.reindex(files_in, upsert, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    for part in (old, new):  # one batch each, of any number of files
+        part.write.mode("append").parquet(folder)
+        extensions.reindex(spark.readStream.schema(old.schema).parquet(folder), upsert, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(old.schema).parquet(seen[-1])

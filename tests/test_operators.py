@@ -426,3 +426,19 @@ def test_findcode_makes_its_text_when_read(spark, tmp_path):
     text_, facts = e.dispatch("/findcode run")
     assert facts == {"kind": "symbol", "count": 3} and "data" not in vars(text_)
     assert str(text_) == "\n\n".join(f"## run (function, m{k}.py line 1)\n```\ndef run():\n    return {k}\n```" for k in range(3))
+
+
+def test_reindex_writes_listings_as_they_are_dealt(spark, monkeypatch):
+    """No listing goes through one task; the later one still comes after the first."""
+    from pathlib import Path
+
+    from loomspark.plans import surface
+
+    made, keep = [], surface.work_dir
+    monkeypatch.setattr(surface, "work_dir", lambda s, name: (made.append(keep(s, name)), made[-1])[1])
+    old, new = ([(f"p{i}", f"{tag}{i}") for i in r] for tag, r in (("old", range(40)), ("new", range(20, 60))))
+    frames = [spark.createDataFrame(rows, "path string, hash string").repartition(3) for rows in (new, old)]
+    monkeypatch.setattr(surface, "_listings", lambda s, sf: frames)
+    got = {tuple(r) for r in surface.streaming_reindex(spark, "").select("path", "hash").collect()}
+    assert got == set((dict(old) | dict(new)).items())
+    assert len(list(Path(made[0].removeprefix("file:")).glob("*.parquet"))) == 6
